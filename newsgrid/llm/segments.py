@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -110,31 +113,105 @@ class TokenCounter:
         return out
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it prints, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(i) if i in own else chr(next(other)) for i in range(256)]
+
+
+class _Memo(dict):
+    """A dict that asks learn for what it has not met."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key):
+        return self.learn(key)
+
+
 class WordEncoder:
-    """Ids of a text under a tokenizer that drops white space: blanks and line feeds are safe boundaries."""
+    """Ids of a text under a tokenizer that drops white space: blanks and line feeds are safe boundaries.
+
+    Between a letter and a full stop or comma that ends a word there is another one. A word of letters alone (below
+    U+0250, composed) is one piece to the tokenizer, so its lower-case form goes straight to the library's model; all
+    other words go through the whole library. Ids of the words met lie in one flat array, up to about `most` words.
+    """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.tokenizer, self.most = load(path), most
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.place = _Memo(self._word)  # of words as they stand
+        self.stems = _Memo(self._stem)  # without a last full stop or comma
+        self.stops = {x: array("i", self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,"}
+        self.ids, self.starts, self.sizes, self.met = array("i"), array("q"), array("q"), np.zeros(0, np.int64)
+
+    def _trim(self) -> None:
+        """Forget words met once, and all if the others fill half of the memo."""
+        kept = {w: i for w, i in self.place.items() if self.met[i] > 1}
+        if len(kept) > self.most // 2:
+            kept = {}
+        stems = {w for w, i in kept.items() if self.stems.get(w) == i}
+        ids, starts, sizes = self.ids, self.starts, self.sizes
+        self.place.clear()
+        self.stems.clear()
+        self.ids, self.starts, self.sizes, self.met = array("i"), array("q"), array("q"), np.zeros(0, np.int64)
+        for w, i in kept.items():
+            self.place[w] = new = self._add(ids[starts[i] : starts[i] + sizes[i]])
+            if w in stems:
+                self.stems[w] = new
+
+    def _add(self, ids) -> int:
+        i = len(self.starts)
+        self.starts.append(len(self.ids))
+        self.sizes.append(len(ids))
+        self.ids.extend(ids)
+        return i
+
+    def _word(self, word: str) -> int:
+        if len(word) > 1 and word[-1] in self.stops and word[-2].isalpha():
+            i = self.stems[word[:-1]]
+            at = self.starts[i]
+            i = self._add(self.ids[at : at + self.sizes[i]] + self.stops[word[-1]])
+        else:
+            i = self.stems[word]
+        self.place[word] = i
+        return i
+
+    def _stem(self, word: str) -> int:
+        low = None
+        if word.isalpha():
+            if word.isascii():
+                low = word.lower()
+            elif max(word) < "\u0250" and "\u0130" not in word and unicodedata.is_normalized("NFC", word):
+                low = "".join(map(self.letters.__getitem__, word.lower().encode()))
+        if low is not None:
+            ids = [t.id for t in self.model.tokenize(low)]
+        else:
+            ids = [i for part in safe_chunks(word) for i in self.tokenizer.encode(part, add_special_tokens=False).ids]
+        i = self.stems[word] = self._add(ids)
+        return i
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """An int32 array of ids for each text, in order."""
         for group in by_bytes(texts):
+            if len(self.starts) > self.most:
+                self._trim()
             words = [t.replace("\n", " ").split(" ") for t in group]
-            wanted = set().union(*words)
-            new = list(wanted.difference(self.memo.keys()))
-            if len(self.memo) + len(new) > self.most:
-                self.memo.clear()
-                new = list(wanted)
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                self.memo.update((w, tuple(x.ids)) for w, x in zip(part, got))
-            for w in words:
-                ids: list[int] = []
-                for x in map(self.memo.__getitem__, w):
-                    ids += x
-                yield np.array(ids, dtype=np.int32)
+            number = [len(w) for w in words]
+            at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, sum(number))
+            met = np.bincount(at, minlength=len(self.starts))
+            met[: len(self.met)] += self.met
+            self.met = met
+            # copies: an array that is viewed cannot grow
+            flat, sizes = np.array(self.ids), np.array(self.sizes)[at]
+            ends = np.cumsum(sizes)
+            ids = flat[np.repeat(np.array(self.starts)[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+            last = 0
+            for end in ends[np.cumsum(number) - 1].tolist():
+                yield ids[last:end]
+                last = end
 
 
 _KEPT: dict[tuple[str, str], object] = {}

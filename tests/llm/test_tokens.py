@@ -2,6 +2,7 @@
 
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -38,8 +39,13 @@ def frame(spark, texts, extra=True):
     return df if extra else df.select("doc_id", "text")
 
 
+@lru_cache
+def library(name):
+    return segments.load(segments.vocabulary(name))
+
+
 def whole(name, text):
-    return segments.load(segments.vocabulary(name)).encode(text or "", add_special_tokens=False).ids
+    return library(name).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -66,7 +72,8 @@ def test_memo_is_bounded():
     texts = ["a b c d", "e f g h", "a f c z"]
     assert counter.counts(texts) == [4, 4, 4]
     encoder = segments.WordEncoder(segments.vocabulary("word_bpe_49k.json"), most=3)
-    assert [list(x) for x in encoder.encode(texts)] == [whole("word_bpe_49k.json", t) for t in texts]
+    for group in (texts, ["a. a, a", "a. b"], ["x. É. é, a."], ODD[1:], texts):
+        assert [list(x) for x in encoder.encode(group)] == [whole("word_bpe_49k.json", t) for t in group]
 
 
 def test_safe_chunks_lose_nothing():
