@@ -162,5 +162,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source")
 
 
+def take_mix(docs: DataFrame, **options) -> DataFrame:
+    """Rows of docs, all columns, each as often as the mix takes it. Rows that share a doc_id are taken equally often."""
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__doc")
+    taken = docs.join(copies.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__doc")))
+    return taken.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
