@@ -96,7 +96,7 @@ class Lexicon:
         self.parts = [_mapped(model.part("hash", i)) for i in range(len(model.lows))]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        new = list(set(words).difference(self.memo.keys()))
+        new = list(set(words).difference(self.memo))
         if len(self.memo) + len(new) > self.most:
             self.memo.clear()
             new = list(set(words))

@@ -71,7 +71,7 @@ class TokenCounter:
         return [len(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, memo: dict[str, int], wanted: set[str], prefix: str) -> None:
-        new = list(wanted.difference(memo.keys()))
+        new = list(wanted.difference(memo))
         if len(memo) + len(new) > self.most:
             memo.clear()
             new = list(wanted)
