@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], slack: float, rounds: int = 4) -> DataFrame:
+    """Edges (a, b) between alike members of buckets, enough for all components. members: (bucket, id), distinct.
+
+    verify takes distinct pairs (a, b) and returns them with d, their distance if they are alike, else null; lower, a
+    lower bound of the distance; and wa and wb, their sizes. Alike pairs are at most slack * larger size apart.
+
+    In each round, each bucket's smallest member is a centre that the others are compared with; those alike to it are
+    done, the others go on to the next round. A group of near copies so costs one comparison a member, whoever else is in
+    its bucket. A member x that is not alike to a centre may still be alike to one of the centre's near members m, but
+    the triangle inequality leaves only those m with lower(centre, x) - d(centre, m) within the slack; these pairs, and
+    those among members left after the last round, are compared as well. No bucket is capped or gathered in one task.
+    """
+    crowded = lambda df: df.join(df.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last"), "bucket")
+    left, edges, near, far = members, [], [], []
+    for _ in range(rounds):
+        met = saved(crowded(left))
+        told = met.where("id <> centre")
+        pairs = saved(told.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+        if not pairs.head(1):
+            left = None
+            break
+        got = saved(verify(pairs))
+        edges.append(got.where("d IS NOT NULL").select("a", "b"))
+        told = told.join(got.select(F.col("a").alias("centre"), F.col("b").alias("id"), "d", "lower", F.col("wb").alias("w")), ["centre", "id"])
+        near.append(told.where("d IS NOT NULL").select("bucket", "centre", "id", "d", "w"))
+        far.append(told.where("d IS NULL").select("bucket", "centre", F.col("id").alias("x"), "lower", F.col("w").alias("wx")))
+        left = saved(told.where("d IS NULL").select("bucket", "id"))
+    if not edges:
+        return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    close, away = union(near), union(far)
+    reach = close.groupBy("bucket", "centre").agg(F.max("d").alias("most"), F.max("w").alias("largest"))
+    away = away.join(reach, ["bucket", "centre"]).where(F.col("lower") - F.col("most") <= slack * F.greatest("wx", "largest"))
+    within = F.col("lower") - F.col("d") <= slack * F.greatest("wx", "w")
+    more = away.drop("most", "largest").join(close, ["bucket", "centre"]).where(within).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    if left is not None:
+        rest = left.select("bucket", F.col("id").alias("b"))
+        more = more.unionByName(left.select("bucket", F.col("id").alias("a")).join(rest, "bucket").where("a < b").select("a", "b"))
+    more = saved(more.distinct())
+    if more.head(1):
+        edges.append(saved(verify(more)).where("d IS NOT NULL").select("a", "b"))
+    return union(edges)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node reachable.
 
