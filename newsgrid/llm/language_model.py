@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -91,7 +91,7 @@ class Model:
 class Lexicon:
     """Ids of tokens by the mapped hash arrays, with a bounded memo; -1 for tokens not in training."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most, self.memo = model, most, {}
         self.parts = [_mapped(model.part("hash", i)) for i in range(len(model.lows))]
 
@@ -113,28 +113,25 @@ class Lexicon:
             self.memo.update(zip(new, found.tolist()))
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
-    def column(self, kind: str, ids: np.ndarray) -> np.ndarray:
-        """Values of an array aligned with the hashes; 0 for id -1."""
+    def values(self, kind: str, ids: np.ndarray) -> np.ndarray:
+        """Entries of an array aligned with the hashes, for sorted ids; 0 for id -1."""
         out = np.zeros(len(ids))
-        unique, back = np.unique(ids, return_inverse=True)
-        values = np.zeros(len(unique))
-        edges = np.searchsorted(unique, np.array(self.model.starts)).tolist() + [len(unique)]
+        edges = np.searchsorted(ids, np.array(self.model.starts)).tolist() + [len(ids)]
         for i, (start, a, z) in enumerate(zip(self.model.starts, edges[:-1], edges[1:])):
             if a < z:
-                values[a:z] = _mapped(self.model.part(kind, i))[unique[a:z] - start]
-        out[:] = values[back]
+                out[a:z] = _mapped(self.model.part(kind, i))[ids[a:z] - start]
         return out
 
 
-def _grouped(texts: list[str | None]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """(first row, tokens, tokens by row) of runs of texts of about _GROUP characters."""
+def _grouped(texts: Iterable[str | None], group: int = _GROUP) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(first row, tokens, tokens by row) of runs of texts of about `group` characters."""
     at, words, sizes, held = 0, [], [], 0
     for i, t in enumerate(texts):
         own = tokens(t)
         words += own
         sizes.append(len(own))
         held += len(t or "")
-        if held >= _GROUP:
+        if held >= group:
             yield at, words, np.array(sizes)
             at, words, sizes, held = i + 1, [], [], 0
     if sizes:
@@ -168,9 +165,9 @@ def train(docs: DataFrame, tokens_in_shard: int = 1_000_000) -> Model:
             return out
 
         for b in batches:
-            for t in b.column("text").to_pylist():
-                seen.update(tokens(t))
-                if len(seen) > 1_000_000:
+            for t in b.column("text"):
+                seen.update(tokens(t.as_py()))
+                if len(seen) > 300_000:
                     yield rows()
         if seen:
             yield rows()
@@ -206,7 +203,7 @@ def train(docs: DataFrame, tokens_in_shard: int = 1_000_000) -> Model:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(model)
         for b in batches:
-            for _, ws, n in _grouped(b.column("text").to_pylist()):
+            for _, ws, n in _grouped(t.as_py() for t in b.column("text")):
                 ids = lexicon.ids(ws)
                 key, times = np.unique(_before(ids, n, start_id) << 32 | ids, return_counts=True)
                 shard = model.shard_of(key >> 32, key & 0xFFFFFFFF)
@@ -221,7 +218,7 @@ def train(docs: DataFrame, tokens_in_shard: int = 1_000_000) -> Model:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         key, n = key[first], np.add.reduceat(n, first)
         _put(model.part("key", shard), key)
-        _put(model.part("times", shard), n.astype(np.uint32) if n.max() < 1 << 32 else n)
+        _put(model.part("times", shard), n.astype(np.min_scalar_type(n.max())))
         context, at = np.unique(key >> 32, return_inverse=True)
         ones = [np.bincount(at, weights=n == k, minlength=len(context)) for k in (1, 2)]
         more = np.bincount(at, weights=n >= 3, minlength=len(context))
@@ -293,9 +290,10 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.start = model, model.n_words
-        words = Model(model.folder, model.lows, model.starts[: len(model.lows)], model.n_words, model.n_tokens, model.shards)
-        self.lexicon, self.tables = Lexicon(words), Lexicon(words)
-        self.tables.model = model
+        parts = len(model.lows)
+        self.lexicon = Lexicon(Model(model.folder, model.lows, model.starts[:parts], model.n_words, model.n_tokens, model.shards))
+        # the context of first words has a part of its own, after those of the words
+        self.first = [float(_mapped(model.part(kind, parts))[0]) if model.n_tokens else 0.0 for kind in ("total", "gamma")]
         self.shards: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def times(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -323,20 +321,27 @@ class Scorer:
         """By text: tokens with a training count, base score, model score."""
         m, starts = self.model, np.cumsum(sizes) - sizes
         ids = self.lexicon.ids(words)
-        count = self.tables_column("count", ids)
+        distinct, back = np.unique(ids, return_inverse=True)
+        of = lambda kind: self.lexicon.values(kind, distinct)[back]
+        count = of("count") if m.n_tokens else np.zeros(len(ids))
         base = np.log10((count + 0.1) / (m.n_tokens + 0.1 * (m.n_words + 1)))
-        before = _before(ids, sizes, self.start)
-        p = self.tables.column("p", ids) if m.n_tokens else np.zeros(len(ids))
-        p = np.where(p > 0, p, m.rest)
+        p = np.full(len(ids), m.rest)
         if m.n_tokens:
-            total, gamma, c = self.tables.column("total", before), self.tables.column("gamma", before), self.times(before, ids)
+            known = of("p")
+            p = np.where(known > 0, known, p)
+
+            def before(kind: str, first: float) -> np.ndarray:
+                own, out = of(kind), np.empty(len(ids))
+                out[1:] = own[:-1]
+                out[starts] = first
+                return out
+
+            total, gamma = before("total", self.first[0]), before("gamma", self.first[1])
+            c = self.times(_before(ids, sizes, self.start), ids)
             d = np.array([0.0, *m.discounts])[np.minimum(c, 3).astype(np.int64)]
             p = np.where(total > 0, (c - d) / np.maximum(total, 1) + gamma * p, p)
         return np.add.reduceat(count > 0, starts, dtype=np.int64), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)
 
-    def tables_column(self, kind: str, ids: np.ndarray) -> np.ndarray:
-        return self.lexicon.column(kind, ids) if self.model.n_tokens else np.zeros(len(ids))
-
 
 def score(docs: DataFrame, model: Model, folds: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
@@ -349,7 +354,7 @@ def score(docs: DataFrame, model: Model, folds: int = 10) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
-            for at, words, sizes in _grouped(b.column("text").to_pylist()):
+            for at, words, sizes in _grouped((t.as_py() for t in b.column("text")), _GROUP // 2):
                 known, base, own = scorer.score(words, sizes)
                 arrays = [pa.array(x) for x in (sizes.astype(np.int64), known.astype(np.int64), np.full(len(sizes), model.n_tokens, np.int64), base, own)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(sizes)), *arrays], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
