@@ -90,7 +90,8 @@ class TokenCounter:
         first, later = set(), set()
         for t in texts:
             flat = t.replace("\n", " ")
-            if not t or len(flat.split(" ")) != len(flat.split()):
+            # equal pieces, not only equally many: no other white space inside one makes up for an empty one
+            if not t or flat.split(" ") != flat.split():
                 split.append(None)
                 continue
             heads, rest = [], []
