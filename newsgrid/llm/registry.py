@@ -27,7 +27,6 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op7_language_model": op7_language_model,
     "op8_vector_search": vector_search.ORACLE_SQL,
     "op9_vector_dedup": vector_dedup.ORACLE_SQL,
 }
