@@ -63,8 +63,8 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     close, away = union(near), union(far)
     reach = close.groupBy("bucket", "centre").agg(F.max("d").alias("most"), F.max("w").alias("largest"))
-    away = away.join(reach, ["bucket", "centre"]).where(F.col("lower") - F.col("most") <= slack * F.greatest("wx", "largest"))
-    within = F.col("lower") - F.col("d") <= slack * F.greatest("wx", "w")
+    away = away.join(reach, ["bucket", "centre"]).where(F.col("lower") - F.col("most") <= slack * F.greatest("wx", "largest") + 1e-9)
+    within = F.col("lower") - F.col("d") <= slack * F.greatest("wx", "w") + 1e-9
     more = away.drop("most", "largest").join(close, ["bucket", "centre"]).where(within).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
     if left is not None:
         rest = left.select("bucket", F.col("id").alias("b"))
