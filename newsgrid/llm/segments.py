@@ -7,14 +7,16 @@ and hands the library only those it has not met, a batch at a time.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Between two characters that are not white space, before a single blank.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -42,11 +44,11 @@ def safe_chunks(text: str, size: int = 1 << 14) -> list[str]:
 
 
 def by_bytes(texts: Iterable[str], most: int = 1 << 22) -> Iterator[list[str]]:
-    """Groups of texts that hold about as many characters each."""
+    """Groups of texts that hold about as many bytes of UTF-8 each."""
     group, held = [], 0
     for t in texts:
         group.append(t)
-        held += len(t)
+        held += len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
         if held >= most:
             yield group
             group, held = [], 0
@@ -132,85 +134,115 @@ class _Memo(dict):
         return self.learn(key)
 
 
+#: A run of letters below U+0250 but for İ, whose lower case ends in a mark, and ASCII marks around it; an apostrophe may
+#: begin a piece of its own, and < a special string.
+_MARKED = (
+    r"^(?P<head>[!-&(-/:;=-@\[-`{-~]*)(?P<run>[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+)"
+    r"(?P<tail>[!-&(-/:;=-@\[-`{-~]*)$"
+)
+
+
 class WordEncoder:
     """Ids of a text under a tokenizer that drops white space: blanks and line feeds are safe boundaries.
 
-    Between a letter and a full stop or comma that ends a word there is another one. A word of letters alone (below
-    U+0250, composed) is one piece to the tokenizer, so its lower-case form goes straight to the library's model; all
-    other words go through the whole library. Ids of the words met lie in one flat array, up to about `most` words.
+    The tokenizer's pieces are runs of letters and runs of marks, among others. Those of words that _MARKED knows go
+    straight to the library's model, in lower case; other words go through the whole library. Ids of the words met lie
+    in one flat array, up to about `most` words.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.tokenizer, self.most = load(path), most
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.place = _Memo(self._word)  # of words as they stand
-        self.stems = _Memo(self._stem)  # without a last full stop or comma
-        self.stops = {x: array("i", self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ".,"}
-        self.ids, self.starts, self.sizes, self.met = array("i"), array("q"), array("q"), np.zeros(0, np.int64)
+        self.model, self.letters = self.tokenizer.model, "".join(_byte_letters())
+        self.place = _Memo(self._meet)  # of words as they stand
+        self.new: list[str] = []
+        self.flat, self.starts, self.sizes, self.met = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._no_pieces()
+
+    def _no_pieces(self) -> None:
+        self.pieces = {"": 0}  # of pieces in lower case
+        self.piece_ids, self.piece_ends = array("i"), array("q", [0, 0])
+
+    def _meet(self, word: str) -> int:
+        i = self.place[word] = len(self.starts) + len(self.new)
+        self.new.append(word)
+        return i
 
     def _trim(self) -> None:
         """Forget words met once, and all if the others fill half of the memo."""
-        kept = {w: i for w, i in self.place.items() if self.met[i] > 1}
+        kept = np.flatnonzero(self.met > 1)
         if len(kept) > self.most // 2:
-            kept = {}
-        stems = {w for w, i in kept.items() if self.stems.get(w) == i}
-        ids, starts, sizes = self.ids, self.starts, self.sizes
+            kept = kept[:0]
+        new = np.full(len(self.starts), -1)
+        new[kept] = np.arange(len(kept))
+        places = new[np.fromiter(self.place.values(), np.int64, len(self.place))].tolist()
+        words = [(w, i) for w, i in zip(self.place, places) if i >= 0]
+        self.flat, self.sizes = self._gather(kept)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.met = np.zeros(len(kept), np.int64)
         self.place.clear()
-        self.stems.clear()
-        self.ids, self.starts, self.sizes, self.met = array("i"), array("q"), array("q"), np.zeros(0, np.int64)
-        for w, i in kept.items():
-            self.place[w] = new = self._add(ids[starts[i] : starts[i] + sizes[i]])
-            if w in stems:
-                self.stems[w] = new
-
-    def _add(self, ids) -> int:
-        i = len(self.starts)
-        self.starts.append(len(self.ids))
-        self.sizes.append(len(ids))
-        self.ids.extend(ids)
-        return i
-
-    def _word(self, word: str) -> int:
-        if len(word) > 1 and word[-1] in self.stops and word[-2].isalpha():
-            i = self.stems[word[:-1]]
-            at = self.starts[i]
-            i = self._add(self.ids[at : at + self.sizes[i]] + self.stops[word[-1]])
-        else:
-            i = self.stems[word]
-        self.place[word] = i
-        return i
-
-    def _stem(self, word: str) -> int:
-        low = None
-        if word.isalpha():
-            if word.isascii():
-                low = word.lower()
-            elif max(word) < "\u0250" and "\u0130" not in word and unicodedata.is_normalized("NFC", word):
-                low = "".join(map(self.letters.__getitem__, word.lower().encode()))
-        if low is not None:
-            ids = [t.id for t in self.model.tokenize(low)]
-        else:
-            ids = [i for part in safe_chunks(word) for i in self.tokenizer.encode(part, add_special_tokens=False).ids]
-        i = self.stems[word] = self._add(ids)
-        return i
+        self.place.update(words)
+        self._no_pieces()
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, one after the other, and how many each has."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(at) else 0)], sizes
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
+
+    def _places(self, pieces: list[str]) -> list[int]:
+        """Places of pieces among piece_ends."""
+        fresh = [x for x in pieces if x not in self.pieces]
+        tokenize, ids, ends = self.model.tokenize, self.piece_ids, self.piece_ends
+        self.pieces.update(zip(fresh, range(len(ends) - 1, len(ends) - 1 + len(fresh))))
+        for x in fresh:
+            ids.extend([t.id for t in tokenize(x if x.isascii() else codecs.charmap_decode(x.encode(), "strict", self.letters)[0])])
+            ends.append(len(ids))
+        return [self.pieces[x] for x in pieces]
+
+    def _odd(self, word: str) -> int:
+        """The place of a word that the whole library has to read."""
+        self.piece_ids.extend(chain.from_iterable(self.tokenizer.encode(part, add_special_tokens=False).ids for part in safe_chunks(word)))
+        self.piece_ends.append(len(self.piece_ids))
+        return len(self.piece_ends) - 2
+
+    def _learn(self) -> None:
+        words, self.new = pa.array(self.new, pa.string()), []
+        found = pc.extract_regex(words, _MARKED)
+        three = [pc.fill_null(x, "") for x in (pc.struct_field(found, "head"), pc.utf8_lower(pc.struct_field(found, "run")), pc.struct_field(found, "tail"))]
+        pieces = pa.concat_arrays(three).dictionary_encode()
+        known = np.array(self._places(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64)
+        at = known[np.asarray(pieces.indices)].reshape(3, -1)
+        odd = np.flatnonzero(np.asarray(pc.is_null(found)))
+        at[0, odd] = [self._odd(w) for w in words.take(pa.array(odd)).to_numpy(zero_copy_only=False)]
+        at = at.T.ravel()
+        # copies: an array that is viewed cannot grow
+        ends, ids = np.array(self.piece_ends), np.array(self.piece_ids)
+        starts, sizes = ends[at], ends[at + 1] - ends[at]
+        last = np.cumsum(sizes)
+        self._add(ids[np.repeat(starts - (last - sizes), sizes) + np.arange(last[-1])], sizes.reshape(-1, 3).sum(1))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """An int32 array of ids for each text, in order."""
         for group in by_bytes(texts):
             if len(self.starts) > self.most:
                 self._trim()
-            words = [t.replace("\n", " ").split(" ") for t in group]
-            number = [len(w) for w in words]
-            at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64, sum(number))
-            met = np.bincount(at, minlength=len(self.starts))
-            met[: len(self.met)] += self.met
-            self.met = met
-            # copies: an array that is viewed cannot grow
-            flat, sizes = np.array(self.ids), np.array(self.sizes)[at]
-            ends = np.cumsum(sizes)
-            ids = flat[np.repeat(np.array(self.starts)[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
+            split = pc.split_pattern(pc.replace_substring(pa.array(group, pa.string()), "\n", " "), " ")
+            number, words = np.diff(np.asarray(split.offsets)), split.values.dictionary_encode()
+            codes, distinct = np.asarray(words.indices), words.dictionary.to_numpy(zero_copy_only=False)
+            del split, words
+            at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+            if self.new:
+                self._learn()
+            self.met = np.concatenate([self.met, np.zeros(len(self.starts) - len(self.met), np.int64)])
+            self.met[at] += np.bincount(codes, minlength=len(at))
+            ids, sizes = self._gather(at[codes])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
             last = 0
-            for end in ends[np.cumsum(number) - 1].tolist():
+            for end in ends[np.cumsum(number)].tolist():
                 yield ids[last:end]
                 last = end
 
