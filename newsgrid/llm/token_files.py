@@ -20,8 +20,8 @@ SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 def write_token_files(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = 1, stripe_mb: int = 16) -> None:
     """Encode every whole text of docs (doc_id, text; null: empty), append end_id, and write ORC files under path.
 
-    Rows are range-partitioned and sorted by doc_id (nulls first; equal ids in no set order), so that file after file the
-    ids ascend. Each row has its ids, the number of its file's task (part) and the count of ids before it in that part.
+    Rows are range-partitioned and sorted by doc_id (nulls first; equal ids by a hash of the text, so that one id may
+    have any number of rows), and file after file the ids ascend. Each row has its ids, the number of its file's task (part) and the count of ids before it in that part.
     ORC packs the ids by integer run-length encoding; stripes of stripe_mb can be read in parallel, and row indexes and
     Bloom filters on doc_id let a reader skip stripes.
     """
@@ -41,7 +41,9 @@ def write_token_files(docs: DataFrame, path: str, vocab: str | None = None, end_
                 )
                 start += int(ends[-1])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     (
         ordered.mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd")
