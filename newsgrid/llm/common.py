@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that setting is absent, as in tests."""
+    """A new folder under spark.checkpoint.dir. Where that setting is absent, a local folder serves a local master only,
+    as in tests: on a cluster executors would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="newsgrid-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/newsgrid-{uuid.uuid4().hex}"
@@ -31,6 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def maybe_among(rows: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """rows (id, ...) without most of those whose id is not in wanted, before they are shuffled.
+
+    A bitmap of 2 ** bits hashes of wanted, 2 MB whatever its size, goes to all tasks; the join that follows is exact.
+    """
+    slot = lambda c: F.pmod(F.col(c), F.lit(1 << bits)) + 1
+    maps = wanted.select(slot("id").alias("slot")).distinct().groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    placed = rows.withColumn("slot", slot("id")).withColumn("part", F.bitmap_bucket_number("slot"))
+    met = placed.join(F.broadcast(maps), "part")
+    at = F.bitmap_bit_position("slot")
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], slack: float, rounds: int = 4) -> DataFrame:
     """Edges (a, b) between alike members of buckets, enough for all components. members: (bucket, id), distinct.
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsgrid.llm.common import saved, table
+from newsgrid.llm.common import maybe_among, saved, table
 from newsgrid.llm.segments import WordEncoder, kept, vocabulary
 
 PIECE = "doc_id long, text_hash long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
@@ -138,7 +138,8 @@ def _encode(docs: DataFrame, vocab: str | None, end_id: int, window: int) -> Dat
 
 
 def _cut_again(docs: DataFrame, cuts: DataFrame, vocab: str | None, end_id: int, window: int) -> DataFrame:
-    """(doc_id, text_hash, start, ids_crc32) of both halves of the pieces in cuts, by encoding those documents again."""
+    """(doc_id, text_hash, start, length, ids_crc32) of both halves of the pieces in cuts, by encoding those documents
+    again. Equal rows may be cut at different places, so a piece is known by its start and its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(WordEncoder, vocab or vocabulary("word_bpe_49k.json"))
@@ -148,14 +149,17 @@ def _cut_again(docs: DataFrame, cuts: DataFrame, vocab: str | None, end_id: int,
             for (doc, text_hash, start, length, first), ids in zip(keys, encoder.encode([t or "" for t in b.column("text").to_pylist()])):
                 ids = np.append(ids, end_id).astype("<u4")
                 for a, z in ((start, start + first), (start + first, start + length)):
-                    out.append((doc, text_hash, a, zlib.crc32(ids[a:z].tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "text_hash", "start", "ids_crc32"])
+                    out.append((doc, text_hash, a, z - a, zlib.crc32(ids[a:z].tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], [x.split()[0] for x in half.split(", ")])
 
+    half = "doc_id long, text_hash long, start long, length long, ids_crc32 long"
+    wanted = saved(cuts.select(F.xxhash64("doc_id", "text_hash").alias("id"), "doc_id", "text_hash", "start", "length", "first").distinct())
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-    wanted = cuts.select("doc_id", "text_hash", "start", "length", "first").distinct()
-    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])
+    # few documents are cut, so that few texts are shuffled
+    rows = maybe_among(rows.withColumn("id", F.xxhash64("doc_id", "text_hash")), wanted)
+    same = (rows["id"] == wanted["id"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])
     met = rows.join(wanted, same).select(rows["doc_id"], rows["text_hash"], "text", "start", "length", "first")
-    return met.mapInArrow(run, "doc_id long, text_hash long, start long, ids_crc32 long").dropDuplicates(["doc_id", "text_hash", "start"])
+    return met.mapInArrow(run, half).dropDuplicates(["doc_id", "text_hash", "start", "length"])
 
 
 def pack(docs: DataFrame, window: int = 4096, vocab: str | None = None, end_id: int = 2) -> DataFrame:
@@ -164,8 +168,8 @@ def pack(docs: DataFrame, window: int = 4096, vocab: str | None = None, end_id:
     Each document is its ids and end_id (a null or empty text: end_id alone). Full windows are sequences of their own.
     Of the rest, shorter than a window, only the histogram of lengths goes to the driver (below `window` rows). There,
     shallow combinations of lengths that fill a window are enumerated, and non-negative least squares gives how often to
-    repeat each. Pieces left over are laid end to end, longest first, and cut at window boundaries, so that all
-    sequences but the very last are full. Every id lies in one piece; offsets are gapless from 0 in each sequence.
+    repeat each. Pieces left over are packed greedily: longest first, each fills the open sequence, and what does not
+    fit is cut off and opens the next one, so that all sequences but the very last are full. Every id lies in one piece; offsets are gapless from 0 in each sequence.
     Repeated rows are packed as often as they come; an empty table gives no rows; other columns are ignored.
 
     No group of equal lengths meets in one task: a piece's number among those of its length is its number within its
@@ -210,15 +214,16 @@ def pack(docs: DataFrame, window: int = 4096, vocab: str | None = None, end_id:
         row_of(F.when(F.col("half") == 0, F.col("place")).otherwise(F.col("place") + F.col("first"))).alias("sequence_id"),
         F.when(F.col("half") == 0, F.col("place") % window).otherwise(F.lit(0)).alias("offset"),
     )
-    crc = _cut_again(docs, cuts, vocab, end_id, window).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("start").alias("s"), "ids_crc32")
-    same = halves["doc_id"].eqNullSafe(crc["d"]) & (halves["text_hash"] == crc["h"]) & (halves["start"] == crc["s"])
+    crc = _cut_again(docs, cuts, vocab, end_id, window).select(*(F.col(c).alias(f"crc_{c}") for c in ("doc_id", "text_hash", "start", "length")), "ids_crc32")
+    same = halves["doc_id"].eqNullSafe(crc["crc_doc_id"]) & (halves["text_hash"] == crc["crc_text_hash"])
+    same = same & (halves["start"] == crc["crc_start"]) & (halves["length"] == crc["crc_length"])
     halves = halves.join(crc, same).select(*keep, "sequence_id", "offset")
     return whole.unionByName(fitted).unionByName(uncut).unionByName(halves).drop("text_hash")
 
 
 def sequences(docs: DataFrame, pieces: DataFrame, window: int = 4096, vocab: str | None = None, end_id: int = 2, pad_id: int = 0) -> DataFrame:
     """(sequence_id, n_ids, ids padded to window) as training reads them: documents are encoded, cut as pieces say, and
-    gathered by sequence. Needs doc_id to be unique."""
+    gathered by sequence. Rows that repeat a doc_id need the same text; each cut is then made once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(WordEncoder, vocab or vocabulary("word_bpe_49k.json"))
@@ -229,8 +234,10 @@ def sequences(docs: DataFrame, pieces: DataFrame, window: int = 4096, vocab: str
                 out += [(c["sequence_id"], c["offset"], ids[c["start"] : c["start"] + c["length"]].tolist()) for c in cuts]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), [pa.int64(), pa.int64(), pa.list_(pa.int32())])], ["sequence_id", "offset", "part_ids"])
 
-    cuts = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
-    parts = docs.select("doc_id", "text").join(cuts, "doc_id").select("text", "cuts").mapInArrow(run, "sequence_id long, offset long, part_ids array<int>")
+    cuts = pieces.select(F.col("doc_id").alias("cut_doc"), F.struct("start", "length", "sequence_id", "offset").alias("cut"))
+    cuts = cuts.groupBy("cut_doc").agg(F.collect_list("cut").alias("cuts"))
+    texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
+    parts = texts.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_doc"))).select("text", "cuts").mapInArrow(run, "sequence_id long, offset long, part_ids array<int>")
     rows = parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "part_ids"))), lambda x: x["part_ids"])).alias("ids"))
     padding = F.array_repeat(F.lit(pad_id), F.lit(window) - F.size("ids"))
     return rows.select("sequence_id", F.size("ids").alias("n_ids"), F.concat("ids", padding).alias("ids"))

@@ -146,6 +146,14 @@ def test_packing_nothing_and_repeats(spark):
     assert sum(r.length for r in rows) == 3 + 3 + 1
 
 
+def test_equal_rows_cut_at_different_places_keep_their_sums(spark):
+    text = "ab cd ef gh ij kl mn op qr st"
+    ids = [*whole("word_bpe_49k.json", text), 2]
+    rows = pack(spark.createDataFrame([(7, text)] * 12, "doc_id long, text string"), window=16).collect()
+    assert sum(r.length for r in rows) == 12 * len(ids) and any(r.length < len(ids) for r in rows)
+    assert all(r.ids_crc32 == crc(ids[r.start : r.start + r.length]) for r in rows)
+
+
 def test_sequences_hold_the_ids(spark):
     texts = ["ab cd ef", "gh " * 30, None, "ij"]
     docs = frame(spark, texts)
