@@ -113,3 +113,207 @@ SEARCH_BAR, DAILY_BAR = 5, 0
 PROTEST_ROOT = "14"
 #: Change of a daily rate, in percent, that counts as flat; events below which no direction is called.
 FLAT_PERCENT, LOW_VOLUME = 5.0, 30
+
+# Names by which a region is also known.
+REGION_ALIASES = {
+    "Washington": ["DC"],
+    "New York": ["NYC"],
+    "Los Angeles": ["LA"],
+    "San Francisco": ["SF"],
+    "SF": ["San Francisco"],
+    "NYC": ["New York"],
+    "LA": ["Los Angeles"],
+    "DC": ["Washington"],
+    "San Diego": ["SD"],
+    "Europe": ["European"],
+    "Asia": ["Asian"],
+    "Illinois": ["IL"],
+    "Ohio": ["OH"],
+    "Georgia": ["GA"],
+    "New Jersey": ["NJ"],
+    "Utah": ["UT"],
+    "Oregon": ["OR"],
+}
+# Postal codes of first-level divisions.
+STATE_CODES = dict(
+    line.split("=")
+    for line in """AL=Alabama AK=Alaska AZ=Arizona AR=Arkansas CA=California CO=Colorado CT=Connecticut DE=Delaware FL=Florida GA=Georgia HI=Hawaii
+ID=Idaho IL=Illinois IN=Indiana IA=Iowa KS=Kansas KY=Kentucky LA=Louisiana ME=Maine MD=Maryland MA=Massachusetts MI=Michigan MN=Minnesota
+MS=Mississippi MO=Missouri MT=Montana NE=Nebraska NV=Nevada NH=New_Hampshire NJ=New_Jersey NM=New_Mexico NY=New_York NC=North_Carolina
+ND=North_Dakota OH=Ohio OK=Oklahoma OR=Oregon PA=Pennsylvania RI=Rhode_Island SC=South_Carolina SD=South_Dakota TN=Tennessee TX=Texas UT=Utah
+VT=Vermont VA=Virginia WA=Washington WV=West_Virginia WI=Wisconsin WY=Wyoming DC=District_of_Columbia""".split()
+)
+STATE_CODES = {code: name.replace("_", " ") for code, name in STATE_CODES.items()}
+# What a stated number of records may be written as.
+COUNT_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+# Words that state a direction.
+DIRECTION_WORDS = {
+    "increase": r"\b(increas\w*|rose|rise\w*|up\b|higher|grew|growth|more)\b",
+    "decrease": r"\b(decreas\w*|fell|fall\w*|drop\w*|down\b|lower|declin\w*|fewer|less)\b",
+    "flat": r"\b(flat|stable|steady|little change|roughly (the )?same|about the same|unchanged)\b",
+    "inconclusive_low_volume": r"\b(too few|insufficient|low volume|not enough|small number|cannot|can't)\b",
+}
+
+# Labels of event codes.
+CODE_LABELS = {
+    "010": "Make statement",
+    "011": "Decline comment",
+    "012": "Make pessimistic comment",
+    "013": "Make optimistic comment",
+    "014": "Consider policy option",
+    "015": "Engage in material cooperation",
+    "016": "Engage in diplomatic cooperation",
+    "017": "Engage in material conflict",
+    "018": "Engage in diplomatic conflict",
+    "019": "Make public statement",
+    "020": "Yield",
+    "021": "Ease administrative sanctions",
+    "022": "Ease military blockade",
+    "023": "Accede to demands for change in leadership",
+    "024": "Return, release",
+    "025": "Ease military alert",
+    "026": "Ease political dissent",
+    "027": "Yield",
+    "028": "Yield",
+    "030": "Disapprove",
+    "031": "Criticize or denounce",
+    "032": "Accuse",
+    "033": "Rally opposition",
+    "034": "Complain officially",
+    "035": "Bring lawsuit against",
+    "036": "Investigate",
+    "037": "Threaten",
+    "038": "Reject",
+    "039": "Threaten",
+    "040": "Reject",
+    "041": "Reject accusation",
+    "042": "Reject proposal to meet, discuss, or negotiate",
+    "043": "Reject plan, agreement to settle dispute",
+    "044": "Reject request for military aid",
+    "045": "Reject request for economic aid",
+    "046": "Reject request for humanitarian aid",
+    "047": "Reject request for military protection",
+    "048": "Reject request for change in leadership",
+    "049": "Reject request for change in policy",
+    "050": "Threaten",
+    "051": "Threaten non-force",
+    "052": "Threaten with administrative sanctions",
+    "053": "Threaten with political dissent",
+    "054": "Threaten to halt negotiations",
+    "055": "Threaten to halt mediation",
+    "056": "Threaten to impose blockade, restrict movement",
+    "057": "Threaten with military force",
+    "058": "Threaten to use unconventional mass violence",
+    "060": "Protest",
+    "061": "Demonstrate or rally",
+    "062": "Conduct hunger strike",
+    "063": "Conduct strike or boycott",
+    "064": "Obstruct passage, block",
+    "065": "Protest violently, riot",
+    "066": "Engage in violent protest",
+    "067": "Engage in political dissent",
+    "068": "Engage in violent protest",
+    "070": "Coerce",
+    "071": "Seize or damage property",
+    "072": "Impose administrative sanctions",
+    "073": "Impose military blockade",
+    "074": "Arrest or detain",
+    "075": "Use force to restore order",
+    "076": "Impose state of emergency or martial law",
+    "077": "Violate ceasefire",
+    "078": "Escalate military engagement",
+    "080": "Assault",
+    "081": "Assault with weapons",
+    "082": "Sexually assault",
+    "083": "Kill by physical assault",
+    "084": "Kill",
+    "085": "Use unconventional mass violence",
+    "086": "Use biological weapons",
+    "087": "Use chemical weapons",
+    "088": "Use radiological weapons",
+    "090": "Use force",
+    "091": "Use military force",
+    "092": "Employ aerial weapons",
+    "093": "Employ artillery and tanks",
+    "094": "Use small arms and light weapons",
+    "095": "Use conventional military force",
+    "096": "Use unconventional mass violence",
+    "097": "Use biological weapons",
+    "098": "Use radiological weapons",
+    "100": "Use chemical weapons",
+    "101": "Use biological weapons",
+    "102": "Use radiological weapons",
+    "103": "Use nuclear weapons",
+    "104": "Use force",
+    "105": "Use force",
+    "106": "Use force",
+    "107": "Use force",
+    "108": "Use force",
+    "110": "Demonstrate force",
+    "111": "Demonstrate military force",
+    "112": "Demonstrate crowd control",
+    "113": "Demonstrate riot control",
+    "114": "Demonstrate military force",
+    "115": "Demonstrate military force",
+    "116": "Demonstrate military force",
+    "120": "Use force",
+    "121": "Use force",
+    "122": "Use force",
+    "123": "Use force",
+    "124": "Use unconventional mass violence",
+    "125": "Use biological weapons",
+    "126": "Use chemical weapons",
+    "127": "Use radiological weapons",
+    "128": "Use nuclear weapons",
+    "129": "Use force",
+    "130": "Threaten",
+    "131": "Threaten",
+    "132": "Threaten",
+    "133": "Threaten",
+    "134": "Threaten",
+    "135": "Threaten",
+    "136": "Threaten",
+    "137": "Threaten",
+    "138": "Threaten",
+    "139": "Threaten",
+    "140": "Coerce",
+    "141": "Coerce",
+    "142": "Coerce",
+    "143": "Coerce",
+    "144": "Coerce",
+    "145": "Coerce",
+    "146": "Coerce",
+    "150": "Engage in material cooperation",
+    "151": "Engage in economic cooperation",
+    "152": "Engage in military cooperation",
+    "153": "Engage in judicial cooperation",
+    "154": "Engage in intelligence cooperation",
+    "155": "Engage in diplomatic cooperation",
+    "160": "Engage in diplomatic cooperation",
+    "161": "Engage in diplomatic cooperation",
+    "162": "Engage in diplomatic cooperation",
+    "163": "Engage in diplomatic cooperation",
+    "164": "Engage in diplomatic cooperation",
+    "165": "Engage in diplomatic cooperation",
+    "166": "Engage in diplomatic cooperation",
+    "170": "Yield",
+    "171": "Ease administrative sanctions",
+    "172": "Ease military blockade",
+    "173": "Accede to demands for change in leadership",
+    "174": "Return, release",
+    "175": "Ease military alert",
+    "180": "Yield",
+    "181": "Ease administrative sanctions",
+    "182": "Ease military blockade",
+    "183": "Accede to demands for change in leadership",
+    "184": "Return, release",
+    "185": "Ease military alert",
+    "186": "Yield",
+    "190": "Use unconventional mass violence",
+    "191": "Use biological weapons",
+    "192": "Use chemical weapons",
+    "193": "Use radiological weapons",
+    "194": "Use nuclear weapons",
+    "195": "Use force",
+    "196": "Use unconventional mass violence",
+}
