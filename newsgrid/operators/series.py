@@ -114,9 +114,10 @@ def forecasts(wins: DataFrame, horizon: int = 7) -> DataFrame:
     return rows.select("series_id", "measure", "event_date", "scale", "h", F.element_at("target", F.col("h")).alias("y"), F.inline(models))
 
 
-def excitation_forecast(long: DataFrame, horizon: int = 7) -> DataFrame:
+def excitation_forecast(long: DataFrame, horizon: int = 7, context: DataFrame | None = None) -> DataFrame:
     """Decayed excitation from each series' last day: base 0.65 mean + 0.35 median, excitation above it by the lag-1
-    autocorrelation with a half-life of 7 days, and a damped trend of the last 21 days."""
+    autocorrelation with a half-life of 7 days, and a damped trend of the last 21 days. Excitation starts at the mean of the
+    last 7 days, or at the series' context (series_id, context)."""
     by = ("series_id", "measure")
     w = Window.partitionBy(*by).orderBy("event_date")
     rows = long.withColumns({"i": F.row_number().over(w).cast("double"), "n": F.count("*").over(Window.partitionBy(*by)), "before": F.lag("y").over(w), "mean": F.avg("y").over(Window.partitionBy(*by))})
@@ -131,7 +132,10 @@ def excitation_forecast(long: DataFrame, horizon: int = 7) -> DataFrame:
     )
     base = F.greatest(F.lit(0.0), 0.65 * F.col("mean") + 0.35 * F.col("median"))
     alpha = F.coalesce(F.least(F.lit(0.85), F.greatest(F.lit(0.05), F.try_divide(F.col("cross"), F.col("square")))), F.lit(0.25))
-    lift = F.greatest(F.lit(0.0), F.col("m7") - base) * alpha
+    start = F.col("m7")
+    if context is not None:
+        stats, start = stats.join(context, "series_id", "left"), F.coalesce("context", "m7")
+    lift = F.greatest(F.lit(0.0), start - base) * alpha
     h = F.col("h").cast("double")
     value = base + lift * F.exp(-h * 0.6931471805599453 / 7) + F.coalesce("slope", F.lit(0.0)) * h * F.exp(-h / 21)
     return stats.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).select(*by, "event_date", "h", F.greatest(F.lit(0.0), value).alias("p"))
