@@ -34,6 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores after it as keep it apart from the columns of df, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def maybe_among(rows: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
     """rows (id, ...) without most of those whose id is not in wanted, before they are shuffled.
 
@@ -48,48 +56,58 @@ def maybe_among(rows: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame
     return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], slack: float, rounds: int = 4) -> DataFrame:
-    """Edges (a, b) between alike members of buckets, enough for all components. members: (bucket, id), distinct.
+def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], further: Callable[[DataFrame], DataFrame], rounds: int = 3, small: int = 32) -> DataFrame:
+    """(node, component) of the members that are alike to others of a bucket. members: (bucket, id), distinct.
 
-    verify takes distinct pairs (a, b) and returns them with d, their distance if they are alike, else null; lower, a
-    lower bound of the distance; and wa and wb, their sizes. Alike pairs are at most slack * larger size apart.
+    verify takes distinct pairs (a, b) and returns those that are alike; further takes members (id) and returns further
+    buckets of theirs (bucket, id), distinct.
 
     In each round, each bucket's smallest member is a centre that the others are compared with; those alike to it are
     done, the others go on to the next round. A group of near copies so costs one comparison a member, whoever else is in
-    its bucket. A member x that is not alike to a centre may still be alike to one of the centre's near members m, but
-    the triangle inequality leaves only those m with lower(centre, x) - d(centre, m) within the slack; these pairs, and
-    those among members left after the last round, are compared as well. No bucket is capped or gathered in one task.
+    its bucket. Then components of all links so far are found; from here on only pairs of different components matter.
+    A member that is still apart from a centre of its bucket is compared with all others in buckets of up to `small`.
+    What fills a larger one is mostly one common run in texts that are otherwise different: its members are dealt to
+    further buckets, many more than before, and compared in the small ones of these, since alike texts have the rest in
+    common, too. No bucket is gathered in one task, and none has all its pairs listed unless it is small.
     """
     crowded = lambda df: df.join(df.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last"), "bucket")
-    left, edges, near, far = members, [], [], []
+    left, edges, apart = members, [], []
     for _ in range(rounds):
-        met = saved(crowded(left))
-        told = met.where("id <> centre")
+        told = saved(crowded(left).where("id <> centre"))
         pairs = saved(told.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
         if not pairs.head(1):
-            left = None
             break
-        got = saved(verify(pairs))
-        edges.append(got.where("d IS NOT NULL").select("a", "b"))
-        told = told.join(got.select(F.col("a").alias("centre"), F.col("b").alias("id"), "d", "lower", F.col("wb").alias("w")), ["centre", "id"])
-        near.append(told.where("d IS NOT NULL").select("bucket", "centre", "id", "d", "w"))
-        far.append(told.where("d IS NULL").select("bucket", "centre", F.col("id").alias("x"), "lower", F.col("w").alias("wx")))
-        left = saved(told.where("d IS NULL").select("bucket", "id"))
+        edges.append(saved(verify(pairs)))
+        near = edges[-1].select(F.col("a").alias("centre"), F.col("b").alias("id"))
+        left = saved(told.join(near, ["centre", "id"], "left_anti"))
+        apart.append(left)
+        left = left.select("bucket", "id")
     if not edges:
-        return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        return members.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     union = lambda frames: reduce(DataFrame.unionByName, frames)
-    close, away = union(near), union(far)
-    reach = close.groupBy("bucket", "centre").agg(F.max("d").alias("most"), F.max("w").alias("largest"))
-    away = away.join(reach, ["bucket", "centre"]).where(F.col("lower") - F.col("most") <= slack * F.greatest("wx", "largest") + 1e-9)
-    within = F.col("lower") - F.col("d") <= slack * F.greatest("wx", "w") + 1e-9
-    more = away.drop("most", "largest").join(close, ["bucket", "centre"]).where(within).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    if left is not None:
-        rest = left.select("bucket", F.col("id").alias("b"))
-        more = more.unionByName(left.select("bucket", F.col("id").alias("a")).join(rest, "bucket").where("a < b").select("a", "b"))
+    found = saved(connected_components(union(edges)))
+    of = lambda df, col, name: df.join(found.select(F.col("node").alias(col), F.col("component").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
+    open_ = of(of(union(apart), "id", "component"), "centre", "other").where("component <> other").select("bucket", "id", "component").distinct()
+    open_ = saved(open_)
+    if not open_.head(1):
+        return found
+    sized = lambda df: df.join(df.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    others = saved(of(sized(members.join(open_.select("bucket").distinct(), "bucket", "left_semi")), "id", "component"))
+
+    def pairs_of(one: DataFrame, two: DataFrame) -> DataFrame:
+        two = two.select("bucket", F.col("id").alias("y"), F.col("component").alias("of_y"))
+        return one.join(two, "bucket").where("component <> of_y").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
+
+    more = pairs_of(open_, others.where(F.col("n") <= small))
+    large = others.where(F.col("n") > small).select("id").distinct()
+    if large.head(1):
+        again = saved(of(sized(saved(further(large))).where((F.col("n") > 1) & (F.col("n") <= small)), "id", "component"))
+        more = more.unionByName(pairs_of(again.join(open_.select("id").distinct(), "id", "left_semi").select("bucket", "id", "component"), again))
     more = saved(more.distinct())
-    if more.head(1):
-        edges.append(saved(verify(more)).where("d IS NOT NULL").select("a", "b"))
-    return union(edges)
+    if not more.head(1):
+        return found
+    new = saved(verify(more))
+    return connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
