@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsgrid.llm.common import saved, table
+from newsgrid.llm.common import saved, table, unused
 
 #: A word, as the sizes count it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,7 +74,7 @@ def solve_tilts(classes: DataFrame, targets: DataFrame, share: float, cap: float
         if state.agg(F.max("error")).first()[0] <= close:
             break
         state = state.drop("error")
-    return state.select("source_key", "scale", "tilt")
+    return state.select("source_key", "scale", F.round("tilt", 8).alias("tilt"))
 
 
 def _thresholds(rated: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
@@ -108,22 +108,22 @@ def _thresholds(rated: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, repairs: int = 6) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, rate, source) for every row of docs (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, copies, rate, source, text_hash) for every row of docs (doc_id, text, source).
 
     size: the words of the text (null: 0). Sources stand by code point, null last, and weights repeat along them;
     together they take share of all words, at most cap times a source's own. Within a source the rates are those
     nearest to `share`, in relative entropy between 0 and cap, that take the target's words: an exponential tilt in the
     document's words, found by Newton steps on the convex dual. A capped source takes all documents cap times. Rates
     become whole copies by a hash of the doc_id; one shift a source, then up to `repairs` single documents a source,
-    bring the sum next to the target. taken = copies * size. Reruns agree; rows with equal ids and texts may differ in
-    copies only through the repairs. Empty texts take no words; an empty table gives no rows; other columns are ignored.
+    bring the sum next to the target, ties by a hash of id and text. taken = copies * size. Tilts are rounded, so that sums
+    in another order give the same copies; rows with equal ids and texts may differ in copies only through the repairs. Empty texts take no words; an empty table gives no rows; other columns are ignored.
 
     No source meets in one task: all is sums by source, combined before the shuffle, and joins of the narrow table with
     the sources' table.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     u = (F.xxhash64(F.lit("copies"), "doc_id").bitwiseAND((1 << 52) - 1) + 0.5) / float(1 << 52)
-    sizes = saved(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), u.alias("u")).withColumn("row", F.monotonically_increasing_id()))
+    sizes = saved(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), u.alias("u"), F.xxhash64("text").alias("text_hash")).withColumn("row", F.monotonically_increasing_id()))
     targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     keyed = sizes.join(targets.select(F.col("source").alias("s"), "source_key"), sizes["source"].eqNullSafe(F.col("s"))).drop("s")
     classes = saved(keyed.where("size > 0").groupBy("source_key", "size").agg(F.count("*").alias("n")))
@@ -132,12 +132,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     by_key = saved(targets.join(tilts, "source_key", "left"))
     rated = keyed.join(by_key.drop("source"), "source_key").withColumn("words", F.col("size") / F.col("scale"))
     rate = F.when(F.col("tilt").isNotNull(), _rate(cap, share)).when(full & (F.col("source_size") > 0), F.lit(float(cap))).otherwise(F.lit(0.0))
-    rated = saved(rated.withColumn("rate", rate).select("row", "doc_id", "source_key", "size", "u", "rate"))
+    rated = saved(rated.withColumn("rate", rate).select("row", "doc_id", "text_hash", "source_key", "size", "u", "rate"))
     shifts = _thresholds(rated, targets, cap)
     rounded = rated.join(shifts, "source_key", "left")
     copies = F.floor(F.col("rate") + F.coalesce("shift", F.lit(0.0)) + 1 - F.col("u"))
     copies = F.when(F.col("rate") >= cap, F.lit(cap)).otherwise(F.greatest(F.lit(0), F.least(F.lit(cap), copies)))
-    chosen = saved(rounded.withColumn("copies", copies.cast("long")).select("row", "source_key", "size", "copies"))
+    chosen = saved(rounded.withColumn("copies", copies.cast("long")).select("row", F.xxhash64("doc_id", "text_hash").alias("tie"), "source_key", "size", "copies"))
 
     flips = None
     for _ in range(repairs):
@@ -150,7 +150,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         left = F.abs(F.col("gap") - change * F.col("size"))
         able = now.where("size > 0").join(gap, "source_key").withColumn("change", change).withColumn("left", left)
         able = able.where((F.col("left") < F.abs("gap")) & (F.col("copies") + F.col("change")).between(0, cap))
-        best = able.groupBy("source_key").agg(F.min(F.struct("left", "row", "change")).alias("b")).select(F.col("b.row").alias("row"), F.col("b.change").alias("change"))
+        best = able.groupBy("source_key").agg(F.min(F.struct("left", "tie", "row", "change")).alias("b")).select(F.col("b.row").alias("row"), F.col("b.change").alias("change"))
         new = saved(best)
         if not new.head(1):
             break
@@ -159,14 +159,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     if flips is not None:
         final = final.join(flips, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
     out = rated.join(final.select("row", "copies"), "row").join(targets, "source_key")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source", "text_hash")
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
-    """Rows of docs, all columns, each as often as the mix takes it. Rows that share a doc_id are taken equally often."""
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__doc")
-    taken = docs.join(copies.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__doc")))
-    return taken.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """Rows of docs, all columns, each as often as the mix takes it; equal rows are taken equally often, those that a
+    repair took once more or less as often as the others."""
+    doc, text, source, copies = (unused(docs, f"mix_{x}") for x in ("doc", "text", "source", "copies"))
+    n = mix(docs, **options).groupBy(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), F.col("source").alias(source)).agg(F.min("copies").alias(copies))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text)) & F.col("source").eqNullSafe(F.col(source))
+    taken = docs.join(n.where(F.col(copies) > 0), same)
+    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
