@@ -134,21 +134,25 @@ def _remainder(doc_id: str, folds: int):
     return F.crc32(F.col(doc_id).cast("string")) % folds
 
 
-def train(docs: DataFrame, order: int = 4, folds: int = 5, rows_per_language: int = 1200, most_languages: int = 64) -> ContextTrees:
+def train(docs: DataFrame, order: int = 4, folds: int = 5, rows_per_language: int = 1200, most_languages: int = 1000) -> ContextTrees:
     """Context trees from a bounded sample of labelled rows.
 
     Of the rows with text, a lang and crc32(doc_id) mod folds other than 0, at most rows_per_language of each of the
     most_languages most frequent languages are read, chosen by a hash of doc_id (rows that repeat a chosen id come with
-    it). Their grams are counted in Spark. Ranks are cut within each task before they are shuffled, and only the counts
-    of distinct grams, bounded by the sample, reach the driver.
+    it). Their grams are counted in Spark, and only the counts of distinct grams, bounded by the sample, reach the driver.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string").alias("language"))
     able = rows.where(F.col("language").isNotNull() & F.col("text").isNotNull() & (_remainder("doc_id", folds) != 0))
-    frequent = able.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(most_languages)
-    first = Window.partitionBy("language").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id")
-    ranked = able.select("doc_id", "language").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language)
-    chosen = saved(ranked.join(F.broadcast(frequent), "language", "left_semi").select("doc_id", "language").distinct())
+    frequent = saved(able.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(most_languages))
+    # a bar on the hash leaves a little over rows_per_language rows of each language; only these are ranked
+    enough = rows_per_language + 5 * rows_per_language**0.5 + 20
+    order = F.xxhash64(F.lit("sample"), "doc_id")
+    low = able.select("doc_id", "language", order.alias("order")).join(F.broadcast(frequent), "language")
+    low = low.where((F.col("order").bitwiseAND((1 << 52) - 1) / F.lit(float(1 << 52))) * F.col("n") <= enough)
+    first = Window.partitionBy("language").orderBy("order", "doc_id")
+    ranked = low.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language)
+    chosen = saved(ranked.select("doc_id", "language").distinct())
     sample = able.join(F.broadcast(chosen), ["doc_id", "language"], "left_semi").select("language", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
