@@ -147,10 +147,9 @@ def train(docs: DataFrame, order: int = 4, folds: int = 5, rows_per_language: in
     frequent = saved(able.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(most_languages))
     # a bar on the hash leaves a little over rows_per_language rows of each language; only these are ranked
     enough = rows_per_language + 5 * rows_per_language**0.5 + 20
-    order = F.xxhash64(F.lit("sample"), "doc_id")
-    low = able.select("doc_id", "language", order.alias("order")).join(F.broadcast(frequent), "language")
-    low = low.where((F.col("order").bitwiseAND((1 << 52) - 1) / F.lit(float(1 << 52))) * F.col("n") <= enough)
-    first = Window.partitionBy("language").orderBy("order", "doc_id")
+    low = able.select("doc_id", "language", F.xxhash64(F.lit("sample"), "doc_id").alias("place")).join(F.broadcast(frequent), "language")
+    low = low.where((F.col("place").bitwiseAND((1 << 52) - 1) / F.lit(float(1 << 52))) * F.col("n") <= enough)
+    first = Window.partitionBy("language").orderBy("place", "doc_id")
     ranked = low.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language)
     chosen = saved(ranked.select("doc_id", "language").distinct())
     sample = able.join(F.broadcast(chosen), ["doc_id", "language"], "left_semi").select("language", "text")
