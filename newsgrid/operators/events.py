@@ -115,56 +115,93 @@ def hot_per_day(events: DataFrame, n: int) -> DataFrame:
     return events.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def similar(seeds: DataFrame, events: DataFrame, days: int, n: int) -> DataFrame:
-    """For each seed its n most similar events within `days` days, the seed's own day and the seed left out.
-
-    Shared actors first (both: 2, one: 1), then the same place, then articles. Seeds and events meet on periods of
-    2 * days days, so the window never becomes a comparison of all with all.
+def _keys(first: str, second: str, place: str) -> dict[str, Column]:
+    """What an event can share with a seed, as keys: an actor in either role, both actors, each also with the place, and the
+    place; null where a part is missing."""
+    a, b, p = F.col(first), F.col(second), F.col(place)
+    key = lambda kind, *parts: F.when(F.concat(*parts).isNotNull(), F.concat_ws("\u0001", F.lit(kind), *parts))
+    low, high = F.least(a, b), F.greatest(a, b)
+    both = F.when(a.isNotNull() & b.isNotNull(), low)
+    return {"any": F.lit("any"), "place": key("p", p), "one": key("a", a), "other": key("a", b), "both": key("b", both, high), "one_place": key("ap", a, p), "other_place": key("ap", b, p), "both_place": key("bp", both, high, p)}
+
+
+def day_lists(events: DataFrame, n: int, kinds: list[str], answers: bool = False) -> DataFrame:
+    """For each day and key of these kinds the n events with the most articles (ties by id).
+
+    Whoever ranks events of some days by what they share with a seed, then by articles, finds the first n among these
+    lists: an event that is on none of its lists stands behind n others that share as much. With answers, there are lists
+    by second actor, too, n for each first actor.
     """
-    period = lambda c: F.floor(F.unix_date(c) / (2 * days))
+    keys = _keys("Actor1Name", "Actor2Name", "ActionGeo_FullName")
+    none = F.lit("").alias("part")
+    each = [F.struct(keys[k].alias("key"), none) for k in kinds]
+    if answers:
+        second = F.when(F.col("Actor1Name").isNotNull() & F.col("Actor2Name").isNotNull(), F.concat_ws("\u0001", F.lit("to"), "Actor2Name"))
+        each.append(F.struct(second.alias("key"), F.coalesce("Actor1Name", F.lit("")).alias("part")))
+    rows = events.select("GlobalEventID", "SQLDATE", "Actor1Name", "Actor2Name", "ActionGeo_FullName", "NumArticles", F.inline(F.array_distinct(F.array(*each)))).where("key IS NOT NULL")
+    order = Window.partitionBy("SQLDATE", "key", "part").orderBy(F.desc("NumArticles"), "GlobalEventID")
+    return rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n).drop("at", "part")
+
+
+def _met(seeds: DataFrame, events: DataFrame, before: int, after: int, n: int, kinds: list[str], answers: bool = False) -> DataFrame:
+    """Seeds (seed_id, seed_day, s1, s2, s_place) with events of the days around them from the lists that they share."""
     s = seeds.select(F.col("GlobalEventID").alias("seed_id"), F.col("SQLDATE").alias("seed_day"), F.col("Actor1Name").alias("s1"), F.col("Actor2Name").alias("s2"), F.col("ActionGeo_FullName").alias("s_place"))
-    s = s.withColumn("period", F.explode(F.array_distinct(F.array(period(F.date_sub("seed_day", days)), period(F.date_add("seed_day", days))))))
-    met = events.withColumn("period", period(F.col("SQLDATE"))).join(s, "period")
-    gap = F.abs(F.datediff("SQLDATE", "seed_day"))
-    met = met.where((gap <= days) & (gap > 0) & (F.col("GlobalEventID") != F.col("seed_id")))
+    keys = [_keys("s1", "s2", "s_place")[k] for k in kinds]
+    if answers:
+        keys += [F.concat_ws("\u0001", F.lit("to"), c) for c in ("s1", "s2")]
+    s = s.withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))))
+    s = s.withColumn("SQLDATE", F.explode(F.sequence(F.date_sub("seed_day", before), F.date_add("seed_day", after)))).where("SQLDATE <> seed_day")
+    met = day_lists(events, n, kinds, answers).join(s, ["SQLDATE", "key"])
+    return met.where(F.col("GlobalEventID") != F.col("seed_id")).drop("key").dropDuplicates(["seed_id", "GlobalEventID"])
+
+
+def _shared_actors() -> tuple[Column, Column]:
+    """Whether an event has both of the seed's actors, and any of them."""
     is_ = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     both = (is_("Actor1Name", "s1") & is_("Actor2Name", "s2")) | (is_("Actor1Name", "s2") & is_("Actor2Name", "s1"))
-    one = is_("Actor1Name", "s1") | is_("Actor2Name", "s2") | is_("Actor1Name", "s2") | is_("Actor2Name", "s1")
-    rank = F.when(both, 2).when(one, 1).otherwise(0)
-    met = met.withColumn("actor_rank", rank).withColumn("place_rank", F.when(is_("ActionGeo_FullName", "s_place"), 1).otherwise(0))
+    return both, is_("Actor1Name", "s1") | is_("Actor2Name", "s2") | is_("Actor1Name", "s2") | is_("Actor2Name", "s1")
+
+
+def similar(seeds: DataFrame, events: DataFrame, days: int, n: int) -> DataFrame:
+    """For each seed its n most similar events within `days` days, the seed's own day and the seed left out.
+
+    Shared actors first (both: 2, one: 1), then the same place, then articles. Seeds meet the short lists of day_lists by
+    equality of day and key, so that neither all events of the days nor all those of a frequent actor are compared.
+    """
+    met = _met(seeds, events, days, days, n, ["any", "place", "one", "other", "both", "one_place", "other_place", "both_place"])
+    both, one = _shared_actors()
+    same_place = F.coalesce(F.col("ActionGeo_FullName") == F.col("s_place"), F.lit(False))
+    met = met.withColumn("actor_rank", F.when(both, 2).when(one, 1).otherwise(0)).withColumn("place_rank", F.when(same_place, 1).otherwise(0))
     order = Window.partitionBy("seed_id").orderBy(F.desc("actor_rank"), F.desc("place_rank"), F.desc("NumArticles"), "GlobalEventID")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("seed_id", "rank", "GlobalEventID", "SQLDATE", "actor_rank", "place_rank", "NumArticles")
 
 
 def storyline(seeds: DataFrame, events: DataFrame, before: int, after: int, n: int) -> DataFrame:
-    """Preceding, following and reacting events of each seed: the first n of each phase. One pass over a range join."""
-    span = max(before, after)
-    period = lambda c: F.floor(F.unix_date(c) / (2 * span))
-    s = seeds.select(F.col("GlobalEventID").alias("seed_id"), F.col("SQLDATE").alias("seed_day"), F.col("Actor1Name").alias("s1"), F.col("Actor2Name").alias("s2"))
-    s = s.withColumn("period", F.explode(F.array_distinct(F.array(period(F.date_sub("seed_day", span)), period(F.date_add("seed_day", span))))))
-    met = events.withColumn("period", period(F.col("SQLDATE"))).join(s, "period").where(F.col("GlobalEventID") != F.col("seed_id"))
+    """Preceding, following and reacting events of each seed: the first n of each phase, from the lists of day_lists."""
+    met = _met(seeds, events, before, after, n, ["any", "one", "other", "both"], answers=True)
     ahead = F.datediff("SQLDATE", "seed_day")
     is_ = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     by_other = F.col("Actor1Name").isNotNull() & ~is_("Actor1Name", "s1") & ~is_("Actor1Name", "s2")
-    pair = (is_("Actor1Name", "s1") & is_("Actor2Name", "s2")) | (is_("Actor1Name", "s2") & is_("Actor2Name", "s1"))
-    any_ = is_("Actor1Name", "s1") | is_("Actor2Name", "s2") | is_("Actor1Name", "s2") | is_("Actor2Name", "s1")
+    pair, any_ = _shared_actors()
     reaction = F.when(is_("Actor2Name", "s1") & by_other, 2.0).when(is_("Actor2Name", "s2") & by_other, 1.0).when(any_, 0.5)
     actors = F.when(pair, 2.0).when(any_, 1.0).otherwise(0.0)
     phases = F.array(
-        F.struct(F.lit("preceding").alias("phase"), F.when((ahead < 0) & (ahead >= -before), actors).alias("score")),
-        F.struct(F.lit("following").alias("phase"), F.when((ahead > 0) & (ahead <= after), actors).alias("score")),
-        F.struct(F.lit("reactions").alias("phase"), F.when((ahead > 0) & (ahead <= after), reaction).alias("score")),
+        F.struct(F.lit("preceding").alias("phase"), F.when(ahead < 0, actors).alias("score")),
+        F.struct(F.lit("following").alias("phase"), F.when(ahead > 0, actors).alias("score")),
+        F.struct(F.lit("reactions").alias("phase"), F.when(ahead > 0, reaction).alias("score")),
     )
     rows = met.select("seed_id", "GlobalEventID", "SQLDATE", "NumArticles", F.inline(phases)).where(F.col("score").isNotNull())
     order = Window.partitionBy("seed_id", "phase").orderBy(F.desc("score"), F.desc("NumArticles"), "GlobalEventID")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def shared_articles(mentions: DataFrame, seed_ids: list[int]) -> DataFrame:
-    """Events that share articles (source and URL) with the seeds: shared articles, sources, and up to five URLs."""
+def shared_articles(mentions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Events that share articles (source and URL) with the seeds (GLOBALEVENTID): shared articles, sources, and up to five
+    URLs."""
     article = ["MentionSourceName", "MentionIdentifier"]
-    seeds = mentions.where(F.col("GLOBALEVENTID").isin(seed_ids)).select(F.col("GLOBALEVENTID").alias("seed_id"), *article).distinct()
-    met = mentions.select("GLOBALEVENTID", *article).distinct().join(seeds, article).where(F.col("GLOBALEVENTID") != F.col("seed_id"))
+    named = mentions.select("GLOBALEVENTID", *article).distinct()
+    own = named.join(seeds.select("GLOBALEVENTID").distinct(), "GLOBALEVENTID", "left_semi").withColumnRenamed("GLOBALEVENTID", "seed_id")
+    met = named.join(own, article).where(F.col("GLOBALEVENTID") != F.col("seed_id"))
     urls = F.slice(F.array_sort(F.collect_set("MentionIdentifier")), 1, 5)
     return met.groupBy("seed_id", "GLOBALEVENTID").agg(F.count("*").alias("shared_articles"), F.count_distinct("MentionSourceName").alias("shared_sources"), F.array_join(urls, " ").alias("sample_urls"))
 

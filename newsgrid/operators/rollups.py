@@ -114,7 +114,9 @@ def merged_types(summaries: DataFrame) -> DataFrame:
 
 
 def weighted(value: Column, weight: Column, digits: int = 4) -> Column:
-    return F.round(F.try_divide(F.sum(value * weight), F.sum(F.when(value.isNotNull(), weight))), digits)
+    """Weighted mean; products are summed as whole millionths, so that it does not depend on the order of rows."""
+    whole = F.round(value * weight * 1e6).cast("long")
+    return F.round(F.try_divide(F.sum(whole), F.sum(F.when(value.isNotNull(), weight)) * F.lit(1e6)), digits)
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

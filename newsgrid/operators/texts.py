@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Elements whose content is no article text.
+# Elements whose content is no article text, and names of months.
 _NOISE = "script|style|nav|footer|header|aside|noscript"
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 _DATE = rf"\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b(?:{_MONTHS})\s+\d{{1,2}}(?:,\s*\d{{4}})?\b|\b(?:19|20)\d{{2}}\b"
@@ -86,14 +86,17 @@ def known_place(docs: DataFrame, places: list[str]) -> DataFrame:
     return docs.select("doc_id", F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), pattern, 1), F.lit("")).alias("place"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
-    """(query_id, rank, vec_id, cosine) of the n nearest vectors to each of a few queries. queries are checked to be few."""
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("too many queries to send to every task")
+def nearest(queries: DataFrame, vectors: DataFrame, n: int, blocks: int = 16) -> DataFrame:
+    """(query_id, rank, vec_id, cosine) of the n nearest vectors to each query.
+
+    Vectors are dealt to blocks by a hash of their id, and each query meets every block: an equality join, of which each
+    block keeps n rows a query.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    c = vectors.select("vec_id", F.col("embedding").alias("v"))
-    score = dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v"))
-    rows = c.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("cosine"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), dot("embedding", "embedding").alias("qq"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    c = vectors.select("vec_id", F.col("embedding").alias("v"), dot("embedding", "embedding").alias("vv"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    score = dot("q", "v") / F.sqrt(F.col("qq") * F.col("vv"))
+    rows = c.join(q, "block").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("cosine"), "block")
+    best = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("cosine"), "vec_id"))
+    near = rows.withColumn("rank", best("block")).where(F.col("rank") <= n)
+    return near.withColumn("rank", best()).where(F.col("rank") <= n).select("query_id", "vec_id", "cosine", "rank")

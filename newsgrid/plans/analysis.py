@@ -129,14 +129,14 @@ def _evolution(fact):
 
 @query(
     "e37_theme_trend",
-    """, c AS (SELECT event_day, theme, COUNT(*) AS n FROM (SELECT event_day, split_part(unnest(string_split(V2Themes, ';')), ',', 1) AS theme FROM packed WHERE hash_day(event_day)) WHERE theme <> '' GROUP BY 1, 2),
+    """, c AS (SELECT event_day, theme, COUNT(*) AS n FROM (SELECT event_day, split_part(unnest(string_split(V2Themes, ';')), ',', 1) AS theme FROM packed WHERE contains(V2Persons, 'ACTOR 3')) WHERE theme <> '' GROUP BY 1, 2),
 p AS (SELECT theme, CAST(SUM(CASE WHEN event_day = (SELECT min(event_day) FROM c) THEN n ELSE 0 END) AS BIGINT) AS first_n, CAST(SUM(CASE WHEN event_day = (SELECT max(event_day) FROM c) THEN n ELSE 0 END) AS BIGINT) AS last_n FROM c GROUP BY 1),
 t AS (SELECT *, CASE WHEN last_n > 2 * first_n AND last_n >= 3 THEN 'emerging' WHEN first_n > 2 * last_n AND first_n >= 3 THEN 'declining' END AS trend, round(greatest(first_n, last_n) / greatest(least(first_n, last_n), 1), 1) AS ratio FROM p)
-SELECT *, CAST(row_number() OVER (PARTITION BY trend ORDER BY ratio DESC, theme) AS INTEGER) AS rank FROM t WHERE trend IS NOT NULL QUALIFY rank <= 10""".replace(" WHERE hash_day(event_day)", ""),
+SELECT *, CAST(row_number() OVER (PARTITION BY trend ORDER BY ratio DESC, theme) AS INTEGER) AS rank FROM t WHERE trend IS NOT NULL QUALIFY rank <= 10""",
     "packed",
 )
 def _theme_trend(packed):
-    return A.theme_trend(packed)
+    return A.theme_trend(packed.where(F.col("V2Persons").contains("ACTOR 3")))
 
 
 @query("e39_compare_sides", f"SELECT {TYPE} AS type, {count_sql("Actor1Name = 'ACTOR 1'")} AS left_events, {count_sql("Actor1Name = 'ACTOR 2'")} AS right_events FROM fact WHERE Actor1Name IN ('ACTOR 1', 'ACTOR 2') GROUP BY 1", "fact")

@@ -9,10 +9,11 @@ from newsgrid.sources import exports
 from newsgrid.streaming import events as V
 
 
-@query("a03_batch_stamps", "SELECT strftime(unnest(generate_series(TIMESTAMP '2024-01-01 10:00:00', TIMESTAMP '2024-01-02 00:10:00', INTERVAL 15 MINUTE)), '%Y%m%d%H%M%S') AS stamp WHERE (SELECT COUNT(*) FROM region) > 0")
+@query("a03_batch_stamps", "SELECT DISTINCT strftime(t, '%Y%m%d%H%M%S') AS stamp FROM (SELECT unnest(generate_series(to_timestamp(floor(min(epoch(ts)) / 900) * 900) AT TIME ZONE 'UTC', to_timestamp(floor(max(epoch(ts)) / 900) * 900) AT TIME ZONE 'UTC', INTERVAL 15 MINUTE)) AS t FROM events GROUP BY CAST(ts AS DATE))")
 def _stamps(spark, sf_dir):
-    stamps = exports.batch_stamps(spark, "2024-01-01 10:07:30", "2024-01-02 00:10:00")
-    return stamps.where(F.lit(True)) if spark.read.parquet(f"{sf_dir}/region.parquet").head(1) else stamps.limit(0)
+    """The batches that hold each day's arrivals, from the first to the last."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return exports.stamps_between(events.groupBy(F.to_date("ts")).agg(F.min("ts").alias("a"), F.max("ts").alias("z")), "a", "z")
 
 
 @query(

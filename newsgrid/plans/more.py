@@ -43,7 +43,7 @@ def _earlier(spark, sf_dir):
 
 @query(
     "g09_relevance",
-    """, s AS (SELECT GlobalEventID AS seed_id, SQLDATE AS d, Actor1Name AS s1, Actor2Name AS s2, ActionGeo_FullName AS sp, CAST(coalesce(NumArticles, 0) AS DOUBLE) AS m, abs(coalesce(GoldsteinScale, 0)) AS h FROM fact WHERE GlobalEventID % 500 = 7),
+    """, s AS (SELECT GlobalEventID AS seed_id, SQLDATE AS d, Actor1Name AS s1, Actor2Name AS s2, ActionGeo_FullName AS sp, CAST(coalesce(NumArticles, 0) AS DOUBLE) AS m, abs(coalesce(GoldsteinScale, 0)) AS h FROM fact WHERE GlobalEventID % 50 = 0),
 c AS (SELECT *, datediff('day', d, SQLDATE) AS gap, CAST(coalesce(NumArticles, 0) AS DOUBLE) AS n, abs(coalesce(GoldsteinScale, 0)) AS g,
   len(list_intersect(list_filter([Actor1Name, Actor2Name], lambda x: x IS NOT NULL), list_filter([s1, s2], lambda x: x IS NOT NULL))) AS shared FROM fact JOIN s ON abs(datediff('day', d, SQLDATE)) <= 9 AND GlobalEventID <> seed_id),
 r AS (SELECT seed_id, GlobalEventID, SQLDATE, round(least(20, 20 * exp(-power(gap - CASE WHEN gap >= 0 THEN 4.5 ELSE -4.5 END, 2) / 18))
@@ -54,7 +54,7 @@ SELECT seed_id, GlobalEventID, SQLDATE, CAST(score AS DOUBLE) AS score, CAST(row
     "fact",
 )
 def _relevance(fact):
-    return C.scored(fact.where(F.col("GlobalEventID") % 500 == 7), fact, 9, 10)
+    return C.scored(fact.where(F.col("GlobalEventID") % 50 == 0), fact, 9, 10)
 
 
 @query("j25_significance", f", {PRINTS_SQL} SELECT GlobalEventID, least(10.0, round(least(coalesce(NumArticles, 0) / 50, 4) + least(abs(coalesce(GoldsteinScale, 0)) / 2, 3) + severity_score + 1, 6))::DOUBLE AS significance FROM fact JOIN prints ON global_event_id = GlobalEventID", "fact")
@@ -87,13 +87,13 @@ def _brief(fact):
     return R.upsert(live, stored, ["date"])
 
 
-@query("e23_sentiment", f", {SUMMARY_SQL} SELECT round(SUM(avg_tone * total_events) / SUM(total_events), 4) AS avg_tone, round(SUM(avg_goldstein * total_events) / SUM(total_events), 4) AS avg_goldstein, CAST(SUM(conflict_events) AS BIGINT) AS conflict_count, CAST(SUM(cooperation_events) AS BIGINT) AS cooperation_count, CAST(SUM(total_events) AS BIGINT) AS total_events FROM totals", "fact")
+@query("e23_sentiment", f", {SUMMARY_SQL} SELECT round(SUM(CAST(round(avg_tone * total_events * 1e6) AS BIGINT)) / (SUM(total_events) * 1e6), 4) AS avg_tone, round(SUM(CAST(round(avg_goldstein * total_events * 1e6) AS BIGINT)) / (SUM(total_events) * 1e6), 4) AS avg_goldstein, CAST(SUM(conflict_events) AS BIGINT) AS conflict_count, CAST(SUM(cooperation_events) AS BIGINT) AS cooperation_count, CAST(SUM(total_events) AS BIGINT) AS total_events FROM totals", "fact")
 def _sentiment(fact):
     days, n = R.daily_summary(fact), F.col("total_events")
     return days.agg(R.weighted(F.col("avg_tone"), n).alias("avg_tone"), R.weighted(F.col("avg_goldstein"), n).alias("avg_goldstein"), F.sum("conflict_events").alias("conflict_count"), F.sum("cooperation_events").alias("cooperation_count"), F.sum(n).alias("total_events"))
 
 
-@query("e09_grid_heatmap", f"SELECT lat_grid, lng_grid, CAST(SUM(n) AS BIGINT) AS intensity, round(SUM(a * n) / SUM(n), 4) AS avg_goldstein FROM (SELECT floor(ActionGeo_Lat / 0.5) * 0.5 AS lat_grid, floor(ActionGeo_Long / 0.5) * 0.5 AS lng_grid, SQLDATE, COUNT(*) AS n, {mean_sql('GoldsteinScale')} AS a FROM fact WHERE ActionGeo_Lat <> 0 AND ActionGeo_Long <> 0 GROUP BY 1, 2, 3) WHERE n > 1 GROUP BY 1, 2", "fact")
+@query("e09_grid_heatmap", f"SELECT lat_grid, lng_grid, CAST(SUM(n) AS BIGINT) AS intensity, round(SUM(CAST(round(a * n * 1e6) AS BIGINT)) / (SUM(n) * 1e6), 4) AS avg_goldstein FROM (SELECT floor(ActionGeo_Lat / 0.5) * 0.5 AS lat_grid, floor(ActionGeo_Long / 0.5) * 0.5 AS lng_grid, SQLDATE, COUNT(*) AS n, {mean_sql('GoldsteinScale')} AS a FROM fact WHERE ActionGeo_Lat <> 0 AND ActionGeo_Long <> 0 GROUP BY 1, 2, 3) WHERE n > 1 GROUP BY 1, 2", "fact")
 def _grid_heatmap(fact):
     n = F.col("event_count")
     return R.grid_days(fact, more_than=1).groupBy("lat_grid", "lng_grid").agg(F.sum(n).alias("intensity"), R.weighted(F.col("avg_goldstein"), n).alias("avg_goldstein"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsgrid.operators import reports as P
+from newsgrid.operators import texts as X
 from newsgrid.registry import query
 
 #: Sentences by report number; the figures in braces come from the event of that id.
 FORMS = [
     "Coverage rose toward the end of the month.",
-    "We cannot say whether activity rose.",
+    "We cannot say whether activity rose. Closures were due to storms.",
     "A total of {n} events. Protests increased by 12% in March.",
     "More than {low} articles, under {high} in all, for over 31 days.",
     "Three records on {day} each with {n} articles.",
@@ -31,6 +32,16 @@ def _reports(spark, sf_dir):
     return rows.select("doc_id", text.alias("text"), steps.alias("steps"), direction.alias("direction"), "day", "articles")
 
 
+@query("k09_causal_candidates", f"SELECT doc_id, CAST(1 AS INTEGER) AS n, 'Closures were due to storms.' AS sentence FROM ({REPORTS}) WHERE form = 1")
+def _causal(spark, sf_dir):
+    return X.causal_candidates(_reports(spark, sf_dir))
+
+
+@query("k10_dates_outside", f"SELECT doc_id, day FROM ({REPORTS}) WHERE form IN (4, 5) AND NOT day BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
+def _dates(spark, sf_dir):
+    return X.dates_outside(_reports(spark, sf_dir), "2024-01-05", "2024-01-20")
+
+
 @query("k05_bounds", f"SELECT doc_id, bound, CAST(v AS DOUBLE) AS value FROM (SELECT doc_id, 'lower' AS bound, greatest(articles - 1, 1) AS v FROM ({REPORTS}) WHERE form = 3 UNION ALL SELECT doc_id, 'upper', articles * 2 FROM ({REPORTS}) WHERE form = 3)")
 def _bounds(spark, sf_dir):
     return P.bounded_numbers(_reports(spark, sf_dir)).select("doc_id", "bound", "value")

@@ -81,6 +81,13 @@ def batch_stamps(spark: SparkSession, start: str, end: str) -> DataFrame:
     return spark.sql(f"SELECT date_format(t, 'yyyyMMddHHmmss') AS stamp FROM (SELECT explode(sequence({first}, to_timestamp_ntz('{end}'), INTERVAL 15 MINUTES)) AS t)")
 
 
+def stamps_between(ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """(stamp) of the 15-minute batches of ranges (start, end: timestamps), both aligned down, each once."""
+    aligned = lambda c: F.timestamp_seconds(F.floor(F.unix_timestamp(c) / 900) * 900)
+    times = F.sequence(aligned(start), aligned(end), F.expr("INTERVAL 15 MINUTES"))
+    return ranges.select(F.explode(times).alias("t")).select(F.date_format("t", "yyyyMMddHHmmss").alias("stamp")).distinct()
+
+
 def new_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files (name, mtime, size) whose signature the ledger (signature) does not have."""
     signed = files.withColumn("signature", F.md5(F.concat_ws("|", "name", F.col("mtime").cast("string"), F.col("size").cast("string"))))
