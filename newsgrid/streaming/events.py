@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +61,22 @@ def refresh_days(events: DataFrame, table: str, rollup: Callable[[DataFrame], Da
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(table)
 
     return run
+
+
+def kept_history(series: DataFrame, days: int = 30) -> DataFrame:
+    """Keyed state of a stream of daily counts (series_id, event_date, total_events): each series keeps its last `days` days,
+    later rows of a day in place of earlier ones, for the next forecast. Whenever a series changes it gives one row
+    (series_id, last_day, counts: an array by day, oldest first)."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = dict(zip(*state.get)) if state.exists else {}
+        for frame in frames:
+            held.update(zip(frame.event_date.astype(str), frame.total_events.astype("int64").tolist()))
+        last = sorted(held)[-days:]
+        state.update((last, [held[d] for d in last]))
+        yield pd.DataFrame({"series_id": [key[0]], "last_day": [last[-1]], "counts": [[held[d] for d in last]]})
+
+    out = "series_id string, last_day string, counts array<bigint>"
+    return series.groupBy("series_id").applyInPandasWithState(run, out, "days array<string>, counts array<bigint>", "update", GroupStateTimeout.NoTimeout)
