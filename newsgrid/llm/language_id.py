@@ -210,8 +210,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs))
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.5, folds: int = 5) -> DataFrame:
-    """Rows of docs, all columns, without those whose language is `und` or scores below least_score.
+def keep_known(docs: DataFrame, least_score: float = 0.5, slack_bits: float = 64.0, folds: int = 5) -> DataFrame:
+    """Rows of docs, all columns, without those whose language is `und`, scores below least_score, or is none that was
+    learned: even the best tree needs more bits than the text's bytes have, by over slack_bits, which spares short texts.
 
     The same trees and scores as identify; the decision is taken where the text is, so nothing is joined or shuffled.
     """
@@ -223,8 +224,11 @@ def keep_known(docs: DataFrame, least_score: float = 0.5, folds: int = 5) -> Dat
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
                 texts = [t if t is not None and trees.languages and next(filter(str.isalpha, t), None) else "" for t in b.column("text").to_pylist()]
-                bits = scorer.lengths([_fold(t) for t in texts])
-                good = [bool(t) and float(1 / np.exp2(row.min() - row).sum()) >= least_score for t, row in zip(texts, bits)]
+                folded = [_fold(t) for t in texts]
+                good = []
+                for f, row in zip(folded, scorer.lengths(folded)):
+                    known = bool(f) and row.min() <= 8 * len(f) + slack_bits
+                    good.append(known and float(1 / np.exp2(row.min() - row).sum()) >= least_score)
                 yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -146,3 +146,14 @@ def test_odd_texts_of_the_model(spark):
     empty = lm.train(frame(spark, rows).limit(0))
     scores = lm.score(frame(spark, rows), empty).collect()
     assert {(r.train_tokens, r.base_score, r.score) for r in scores} == {(0, 0.0, 0.0)}
+
+
+def test_unknown_languages_go(spark):
+    from newsgrid.llm.language_id import keep_known
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    other = "这是一段没有人学过的语言写成的文字，用来看看模型会不会把它留下。" * 10
+    planted = spark.createDataFrame([(900001, other, None), (900002, "ok", None), (900003, None, None)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in keep_known(docs.unionByName(planted)).collect()}
+    clean = {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
+    assert 900001 not in kept and 900003 not in kept and clean <= kept
