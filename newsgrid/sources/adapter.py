@@ -63,7 +63,19 @@ def _tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[st
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
+#: Folders whose event records have been written with store_fact, and where to.
+STORED: dict[str, str] = {}
+
+
+def store_fact(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the event records of a folder once, sorted by day within files; from then on queries of this process read them."""
+    fact(spark, sf_dir).sortWithinPartitions("SQLDATE").write.mode("overwrite").parquet(path)
+    STORED[sf_dir] = path
+
+
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if sf_dir in STORED:
+        return spark.read.parquet(STORED[sf_dir])
     return spark.sql(FACT + " SELECT * FROM fact", **_tables(spark, sf_dir, TABLES))
 
 
