@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgrid.llm.common import saved, table
+from newsgrid.llm.segments import forget
 
 #: What a text begins after.
 _START = b"\n"
@@ -182,6 +183,7 @@ def identify(docs: DataFrame, trees: ContextTrees, folds: int = 5) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorer = _Scorer(trees)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
@@ -219,6 +221,7 @@ def keep_known(docs: DataFrame, least_score: float = 0.5, slack_bits: float = 64
     trees = train(docs, folds=folds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorer = _Scorer(trees)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):

@@ -43,7 +43,7 @@ def safe_chunks(text: str, size: int = 1 << 14) -> list[str]:
     return out
 
 
-def by_bytes(texts: Iterable[str], most: int = 1 << 22) -> Iterator[list[str]]:
+def by_bytes(texts: Iterable[str], most: int = 1 << 21) -> Iterator[list[str]]:
     """Groups of texts that hold about as many bytes of UTF-8 each."""
     group, held = [], 0
     for t in texts:
@@ -150,7 +150,7 @@ class WordEncoder:
     in one flat array, up to about `most` words.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.tokenizer, self.most = load(path), most
         self.model, self.letters = self.tokenizer.model, "".join(_byte_letters())
         self.place = _Memo(self._meet)  # of words as they stand
@@ -258,6 +258,13 @@ def kept(kind, path: str):
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Let go of all encoders: a worker that turns to another operator needs the memory."""
+    if _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def vocabulary(name: str) -> str:
     """Where the public vocabulary files are on this machine."""
     import public_tokenizers
