@@ -11,7 +11,7 @@ from newsgrid.operators import rollups as R
 from newsgrid.operators import series as T
 from newsgrid.plans.forecasting import SPLIT, WINDOWS, _forecasts
 from newsgrid.plans.rollups import REGION_SQL, TYPE
-from newsgrid.registry import query
+from newsgrid.registry import ORACLE_SQL, query
 
 
 @query(
@@ -91,13 +91,21 @@ def _quantiles(series):
     return X.residual_quantiles(rows).select("h", "n", F.round("low_q", 6).alias("low_q"), F.round("high_q", 6).alias("high_q"))
 
 
-@query("n05_attention_context")
+#: All features of a day as one list, over the derived rows of the feature query.
+_ROWS = ORACLE_SQL["n02_features"].rpartition("SELECT series_id, event_date, round(ln")[0]
+CONTEXT = f"""WITH feats AS ({_ROWS} SELECT series_id, event_date, total_events, [ln(1 + n), conflict_events / greatest(n, 1), cooperation_events / greatest(n, 1), avg_goldstein / 10, avg_tone / 10, ln(1 + total_articles), sin((isodow(event_date) - 1) * 2 * pi() / 7), cos((isodow(event_date) - 1) * 2 * pi() / 7),
+  sin(dayofyear(event_date) * 2 * pi() / 366), cos(dayofyear(event_date) * 2 * pi() / 366), ln(1 + m7), ln(1 + m14), ln(1 + m30), least(10, greatest(0, n / greatest(m7, 1))) / 10, least(10, greatest(0, sd / greatest(m7, 1))) / 10, least(1, greatest(-1, CASE WHEN isnan(slope) THEN 0 ELSE slope END / greatest(m7, 1)))] AS k FROM f),
+recent AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY event_date DESC) AS r FROM feats), newest AS (SELECT series_id, k AS q, event_date AS day FROM recent WHERE r = 1),
+weights AS (SELECT series_id, total_events, exp(list_dot_product(k, q) / 4 - datediff('day', event_date, day) / 7) AS w FROM recent JOIN newest USING (series_id) WHERE r <= 30)
+SELECT series_id, round(sum(w * total_events) / sum(w), 6) AS context FROM weights GROUP BY 1"""
+
+
+@query("n05_attention_context", CONTEXT)
 def _attention(spark, sf_dir):
-    """A softmax over learned-free features; compared with the plain formula in tests."""
     from newsgrid.sources.adapter import daily_series
 
     dense = T.densify(daily_series(spark, sf_dir))
-    return X.attention_context(T.features(dense), dense)
+    return X.attention_context(T.features(dense), dense).withColumn("context", F.round("context", 6))
 
 
 @query("c16_matched_cells", WINDOWS + ", a AS (SELECT series_id, measure, event_date, h, p FROM fc WHERE model = 'moving_avg_7'), b AS (SELECT series_id, measure, event_date, h, p FROM fc WHERE model = 'seasonal_naive' AND h % 2 = 0) SELECT COUNT(*) AS cells, round(max(abs(a.p - b.p)), 6) AS largest_difference FROM a JOIN b USING (series_id, measure, event_date, h)", "series")

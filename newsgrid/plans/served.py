@@ -10,6 +10,7 @@ from newsgrid.operators import served as V
 from newsgrid.operators import series as T
 from newsgrid.operators import texts as X
 from newsgrid.plans.events import PRINTS_SQL
+from newsgrid.plans.extra import CONTEXT
 from newsgrid.plans.forecasting import LONG, SERIES_IDS, WINDOWS, _forecasts
 from newsgrid.plans.rollups import SUMMARY_SQL
 from newsgrid.registry import ORACLE_SQL, count_sql, query
@@ -63,14 +64,17 @@ def _summary(spark, sf_dir):
     return V.forecast_summary(_forecast(series), long, V.history_stats(long))
 
 
-@query("n06_context_forecast")
+EXCITED = ORACLE_SQL["n04_excitation_forecast"].replace("greatest(0, m7 - base)", "greatest(0, coalesce(context, m7) - base)").replace(" FROM s)", " FROM s LEFT JOIN ctx USING (series_id) WHERE measure = 'total')")
+
+
+@query("n06_context_forecast", f"WITH ctx AS ({CONTEXT}), " + EXCITED.removeprefix("WITH "))
 def _context(spark, sf_dir):
-    """As n04, with the excitation of the attention context, which SQL does not tell; tests compare it with the formula."""
+    """As n04, its excitation taken from the attention context."""
     from newsgrid.operators.extra import attention_context
     from newsgrid.sources.adapter import daily_series
 
     dense = T.densify(daily_series(spark, sf_dir))
-    context = attention_context(T.features(dense), dense)
+    context = attention_context(T.features(dense), dense).withColumn("context", F.round("context", 6))
     return V.with_context(T.measures(dense).where("measure = 'total'"), context).withColumn("p", F.round("p", 6))
 
 
