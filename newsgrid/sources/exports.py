@@ -41,8 +41,10 @@ SCHEMA = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(N_F
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Kept columns, typed, of lines (value): lines with another number of fields are dropped, empty numbers are null."""
-    fields = lines.select(F.split("value", "\t", -1).alias("f")).where(F.size("f") == N_FIELDS)
+    """Kept columns, typed, of lines (value): lines with another number of fields are dropped, empty numbers are null. Other
+    columns of lines stay."""
+    others = [c for c in lines.columns if c != "value"]
+    fields = lines.select(F.split("value", "\t", -1).alias("f"), *others).where(F.size("f") == N_FIELDS)
 
     def column(name: str, i: int) -> Column:
         raw = F.col("f")[i]
@@ -52,7 +54,7 @@ def parsed(lines: DataFrame) -> DataFrame:
             return F.expr(f"try_to_timestamp(f[{i}], 'yyyyMMddHHmmss')")
         return F.expr(f"try_cast(nullif(f[{i}], '') AS {_KINDS[name]})") if name in _KINDS else raw
 
-    return fields.select(*(column(n, i).alias(n) for n, i in POSITIONS.items()))
+    return fields.select(*(column(n, i).alias(n) for n, i in POSITIONS.items()), *others)
 
 
 def read_exports(spark: SparkSession, paths: list[str], countries: list[str] | None = None) -> DataFrame:
@@ -88,10 +90,21 @@ def stamps_between(ranges: DataFrame, start: str, end: str) -> DataFrame:
     return ranges.select(F.explode(times).alias("t")).select(F.date_format("t", "yyyyMMddHHmmss").alias("stamp")).distinct()
 
 
+def _signature() -> Column:
+    return F.md5(F.concat_ws("|", "name", F.col("mtime").cast("string"), F.col("size").cast("string"))).alias("signature")
+
+
 def new_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files (name, mtime, size) whose signature the ledger (signature) does not have."""
-    signed = files.withColumn("signature", F.md5(F.concat_ws("|", "name", F.col("mtime").cast("string"), F.col("size").cast("string"))))
-    return signed.join(ledger.select("signature"), "signature", "left_anti")
+    return files.select("*", _signature()).join(ledger.select("signature"), "signature", "left_anti")
+
+
+def record_files(loaded: DataFrame, rows: DataFrame, path: str) -> None:
+    """Add to the ledger at path one row for each loaded file (name, mtime, size): its signature, name, the number of rows
+    that came from it (rows: read_exports, with file), and when. Files without rows are recorded, too."""
+    counts = rows.groupBy(F.col("file").alias("name")).agg(F.count("*").alias("n_rows"))
+    entries = loaded.select("*", _signature()).join(counts, "name", "left")
+    entries.select("signature", "name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.current_timestamp().alias("loaded_at")).write.mode("append").parquet(path)
 
 
 def period(events: DataFrame, start: str, end: str, added_until: str) -> DataFrame:

@@ -98,3 +98,14 @@ def test_upsert_twice_is_once(spark):
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string")
     once = R.upsert(old, new, ["k"])
     assert {tuple(r) for r in R.upsert(once, new, ["k"]).collect()} == {tuple(r) for r in once.collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_the_ledger_records_rows(spark, tmp_path):
+    batches(tmp_path)
+    names = sorted(p.name for p in tmp_path.glob("*.CSV"))
+    files = spark.createDataFrame([(n, 1, 2) for n in names] + [("absent", 1, 2)], "name string, mtime long, size long")
+    exports.record_files(files, exports.read_exports(spark, [str(tmp_path)]), f"file://{tmp_path}/ledger")
+    ledger = spark.read.parquet(f"file://{tmp_path}/ledger")
+    assert {r.name: r.n_rows for r in ledger.collect()} == {**dict(zip(names, [5, 6, 6, 6])), "absent": 0}
+    more = files.union(spark.createDataFrame([("late", 1, 2)], files.schema))
+    assert [r.name for r in exports.new_files(more, ledger).collect()] == ["late"]
