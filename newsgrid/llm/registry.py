@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from newsgrid.llm import vector_dedup, vector_search
+from newsgrid.llm.byte_bpe import op11_byte_bpe
 from newsgrid.llm.language_id import op4_language_id
 from newsgrid.llm.language_model import op7_language_model
 from newsgrid.llm.line_dedup import op2_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_vector_search": op8_vector_search,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_token_files": op10_token_files,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_vector_search": vector_search.ORACLE_SQL,

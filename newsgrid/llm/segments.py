@@ -247,14 +247,14 @@ class WordEncoder:
                 last = end
 
 
-_KEPT: dict[tuple[str, str], object] = {}
+_KEPT: dict[tuple, object] = {}
 
 
-def kept(kind, path: str):
-    """One encoder of each kind and file for a worker's whole life."""
-    key = (kind.__name__, path)
+def kept(kind, *args):
+    """One encoder of each kind and file (and what else kind takes) for a worker's whole life."""
+    key = (kind.__name__, *args)
     if key not in _KEPT:
-        _KEPT[key] = kind(path)
+        _KEPT[key] = kind(*args)
     return _KEPT[key]
 
 
