@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from newsgrid.llm import vector_dedup, vector_search
+from newsgrid.llm import lexical_search, vector_dedup, vector_search
 from newsgrid.llm.byte_bpe import op11_byte_bpe
 from newsgrid.llm.language_id import op4_language_id
 from newsgrid.llm.language_model import op7_language_model
+from newsgrid.llm.lexical_search import op13_lexical_search
 from newsgrid.llm.line_dedup import op2_line_dedup
 from newsgrid.llm.mixing import op6_mixing
 from newsgrid.llm.near_dedup import op1_near_dedup
@@ -27,8 +28,10 @@ QUERIES = {
     "op9_vector_dedup": op9_vector_dedup,
     "op10_token_files": op10_token_files,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_lexical_search": op13_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_vector_search": vector_search.ORACLE_SQL,
     "op9_vector_dedup": vector_dedup.ORACLE_SQL,
+    "op13_lexical_search": lexical_search.ORACLE_SQL,
 }
