@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from newsgrid.llm import lexical_search, vector_dedup, vector_search
+from newsgrid.llm import hard_negatives, lexical_search, vector_dedup, vector_search
 from newsgrid.llm.byte_bpe import op11_byte_bpe
+from newsgrid.llm.hard_negatives import op12_hard_negatives
 from newsgrid.llm.language_id import op4_language_id
 from newsgrid.llm.language_model import op7_language_model
 from newsgrid.llm.lexical_search import op13_lexical_search
@@ -28,10 +29,12 @@ QUERIES = {
     "op9_vector_dedup": op9_vector_dedup,
     "op10_token_files": op10_token_files,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_lexical_search": op13_lexical_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_vector_search": vector_search.ORACLE_SQL,
     "op9_vector_dedup": vector_dedup.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
     "op13_lexical_search": lexical_search.ORACLE_SQL,
 }

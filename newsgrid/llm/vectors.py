@@ -7,14 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>) without null ids, null or empty vectors, and null or non-finite components."""
+def usable(vectors: DataFrame, *more: Column, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, v array<double>, more) without null ids, null or empty vectors, and null or non-finite components."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), *more)
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & finite)
 
