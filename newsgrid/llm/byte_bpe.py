@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import struct
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -21,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from newsgrid.llm.common import table
-from newsgrid.llm.segments import kept, safe_chunks, vocabulary
+from newsgrid.llm.segments import _Memo as Memo
+from newsgrid.llm.segments import by_bytes, kept, safe_chunks, vocabulary
 
 #: One letter for each byte, from U+0100 on: none is white space or has a meaning of its own in sentencepiece.
 _LETTERS = [chr(256 + b) for b in range(256)]
@@ -77,52 +77,102 @@ def serialised(tokens: list[bytes]) -> bytes:
 
 
 class ByteBpe:
-    """Encoder and decoder of one rank file. Pre-tokens met are kept with their ids, up to `most` of them."""
+    """Encoder and decoder of one rank file.
 
-    def __init__(self, path: str, pattern: str | None = None, most: int = 300_000, longest: int = 64):
+    A text in which every white space is a single blank or line feed between two other characters is cut before each
+    blank and around each line feed, where the public pattern always begins a match: equal segments have equal ids. All
+    other texts, and all under another pattern, are cut into the pattern's matches. Ids of segments lie in one flat array,
+    up to about `most` segments; those met once are forgotten first.
+    """
+
+    def __init__(self, path: str, pattern: str | None = None, most: int = 250_000):
         import regex
         import sentencepiece
         from public_tokenizers import PATTERN
 
         self.split = regex.compile(pattern or PATTERN).findall
+        self.plain = pattern in (None, PATTERN)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(read_ranks(path)))
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size() - 1)]
         self.whole = {p: i for i, p in enumerate(pieces)}
         back = {letter: b for b, letter in enumerate(_LETTERS)}
         self.bytes = [bytes(map(back.__getitem__, p)) for p in pieces]
-        self.most, self.longest = most, longest
-        self.met: dict[str, tuple[int, ...]] = {}
-
-    def _ids(self, pre_tokens: list[str]) -> list[tuple[int, ...]]:
-        """A pre-token that is a token is that one; the model merges all others, a batch at a time."""
-        mapped = [letters(x.encode()) for x in pre_tokens]
-        out = [(self.whole[x],) if x in self.whole else None for x in mapped]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for i, ids in zip(part, self.model.encode([mapped[i] for i in part], out_type=int, num_threads=1)):
-                out[i] = tuple(ids)
-        return out
-
-    def _of_words(self, words: list[str]) -> array:
-        if len(self.met) > self.most:
-            self.met.clear()
-        new = list(set(words).difference(self.met))
-        self.met.update(zip(new, self._ids(new)))
-        out = array("i", chain.from_iterable(map(self.met.__getitem__, words)))
-        for long in (w for w in new if len(w) > self.longest):
-            del self.met[long]
-        return out
-
-    def encode(self, text: str) -> array:
-        """Ids of a whole text of any length, in chunks cut before a blank, where the pattern always begins a match."""
-        out = array("i")
-        for chunk in safe_chunks(text, 1 << 20):
-            out += self._of_words(self.split(chunk))
-        return out
-
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place = Memo(self._meet)  # of segments: strings to cut by the pattern, matches as tuples of one
+        self.new: list = []
+        self.flat, self.starts, self.sizes, self.met = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
+
+    def _meet(self, segment) -> int:
+        i = self.place[segment] = len(self.starts) + len(self.new)
+        self.new.append(segment)
+        return i
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the segments at these places, one after the other, and how many each has."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(at) else 0)], sizes
+
+    def _trim(self) -> None:
+        """Forget segments met once, and all if the others fill half of the memo."""
+        often = self.met > 1
+        if often.sum() > self.most // 2:
+            return self._forget()
+        segments = [s for s, i in self.place.items() if often[i]]
+        kept_at = np.fromiter(map(self.place.__getitem__, segments), np.int64, len(segments))
+        flat, sizes = self._gather(kept_at)
+        self._forget()
+        self.place.update(zip(segments, range(len(segments))))
+        self.flat, self.sizes, self.starts, self.met = flat, sizes, np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.int64)
+
+    def _learn(self) -> None:
+        """Ids of new segments: a match that is a token is that one; the model merges all others."""
+        matches = [x if isinstance(x, tuple) else self.split(x) for x in self.new]
+        number = np.fromiter(map(len, matches), np.int64, len(matches))
+        mapped = [letters(x.encode()) for x in chain.from_iterable(matches)]
+        rest = [x for x in dict.fromkeys(mapped) if x not in self.whole]
+        merged = dict(zip(rest, self.model.encode(rest, out_type=int, num_threads=1)))
+        ids = [merged[x] if x in merged else (self.whole[x],) for x in mapped]
+        flat = np.fromiter(chain.from_iterable(ids), np.int32)
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])[np.concatenate([[0], np.cumsum(number)])]
+        self.starts, self.sizes = np.concatenate([self.starts, len(self.flat) + ends[:-1]]), np.concatenate([self.sizes, np.diff(ends)])
+        self.flat, self.met = np.concatenate([self.flat, flat]), np.concatenate([self.met, np.zeros(len(matches), np.int64)])
+        self.new = []
+
+    def _segments(self, text: str) -> list:
+        if self.plain and "\0" not in text:
+            words = text.replace("\n", " ").split(" ")
+            # equal pieces, not only equally many: no other white space inside one makes up for an empty one
+            if words == text.split():
+                return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return [(x,) for x in self.split(text)]
+
+    def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.starts) > self.most:
+            self._trim()
+        cut = [self._segments(t) for t in texts]
+        segments = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.place.__getitem__, segments), np.int64, len(segments))
+        if self.new:
+            self._learn()
+        self.met += np.bincount(at, minlength=len(self.met))
+        ids, sizes = self._gather(at)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, cut)])]
+        return (ids[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()))
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. Texts of any length: in chunks cut before a blank between two words."""
+        for group in by_bytes(texts):
+            chunks = [safe_chunks(t, 1 << 20) if self.plain else [t] for t in group]
+            parts = chain.from_iterable(self._group(g) for g in by_bytes(chain.from_iterable(chunks)))
+            for own in chunks:
+                yield next(parts) if len(own) == 1 else np.concatenate([next(parts) for _ in own])
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
 def _sizes(lengths: pa.Array) -> np.ndarray:
@@ -151,10 +201,9 @@ def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None
         for b in batches:
             for a, n in _runs(_sizes(pc.binary_length(b.column("text")))):
                 part = b.slice(a, n)
-                rows = [bpe.encode(t or "") for t in part.column("text").to_pylist()]
+                rows = list(bpe.encode(t or "" for t in part.column("text").to_pylist()))
                 ends = np.cumsum([0, *map(len, rows)])
-                flat = np.concatenate([np.frombuffer(r, np.int32) for r in rows])
-                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -171,7 +220,11 @@ def decode(rows: DataFrame, ranks: str | None = None, ids: str = "ids", name: st
         for b in batches:
             for a, n in _runs(_sizes(pc.list_value_length(b.column(ids)))):
                 part = b.slice(a, n)
-                out = [None if x is None else bpe.decode(x) for x in part.column(ids).to_pylist()]
+                lists = part.column(ids)
+                if pc.any(pc.is_null(lists.flatten())).as_py():
+                    raise ValueError("a null among ids")
+                flat, ends = lists.values.to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
+                out = [bpe.decode(flat[x:z]) if known else None for x, z, known in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*b.schema.names, name])
 
     return rows.mapInArrow(run, schema)
