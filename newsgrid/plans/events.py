@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from newsgrid.functions import constants as K
 from newsgrid.functions import scalars as S
 from newsgrid.operators import events as E
+from newsgrid.operators import keyword_index as I
 from newsgrid.registry import count_sql, query
 
 START, END = "2024-01-05", "2024-01-20"
@@ -91,6 +94,16 @@ def _words(fact):
     return E.with_all_words(E.fingerprints(fact), ["protests", "europe"]).select("global_event_id", "headline")
 
 
+@query("b08_keyword_index", f", {PRINTS_SQL} SELECT global_event_id, headline, source_text FROM prints WHERE list_has_all(string_split(regexp_replace(lower(headline || ' ' || source_text), '[^a-z0-9]+', ' ', 'g'), ' '), ['with', 'consults', 'europe'])", "fact")
+def _indexed(fact):
+    """The index is written from one half of the rows, then the other half is appended to it."""
+    prints, spark = E.fingerprints(fact), fact.sparkSession
+    index, tokens = f"keyword_index_{uuid.uuid4().hex}", I.words("headline", "source_text")
+    for half in (0, 1):
+        I.append(prints.where(F.pmod(F.col("global_event_id"), F.lit(2)) == half), index, "global_event_id", tokens, buckets=16)
+    return I.search(prints, index, ["with", "consults", "europe"], "global_event_id").select("global_event_id", "headline", "source_text")
+
+
 @query(
     "b09_keyword_terms",
     "SELECT doc_id, array_to_string(list_slice(t, 1, 5), ' ') AS terms FROM (SELECT doc_id, list_filter(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'i': list_position(w, x), 'w': x})), lambda s: s.w), lambda x: length(x) >= 3 AND NOT list_contains(["

@@ -107,7 +107,7 @@ def _merged_types(fact):
 
 @query(
     "e18_regional_overview",
-    f", {REGION_SQL} SELECT region_type, region_code, CAST(SUM(event_count) AS BIGINT) AS total, CAST(SUM(conflict_events) AS BIGINT) AS conflicts, CAST(SUM(cooperation_events) AS BIGINT) AS cooperation, round(SUM(avg_goldstein * event_count) / SUM(event_count), 4) AS avg_goldstein, round(SUM(avg_tone * event_count) / SUM(event_count), 4) AS avg_tone FROM stats WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-24' GROUP BY 1, 2",
+    f", {REGION_SQL} SELECT region_type, region_code, CAST(SUM(event_count) AS BIGINT) AS total, CAST(SUM(conflict_events) AS BIGINT) AS conflicts, CAST(SUM(cooperation_events) AS BIGINT) AS cooperation, round(SUM(CAST(round(avg_goldstein * event_count * 1e6) AS BIGINT)) / (SUM(event_count) * 1e6), 4) AS avg_goldstein, round(SUM(CAST(round(avg_tone * event_count * 1e6) AS BIGINT)) / (SUM(event_count) * 1e6), 4) AS avg_tone FROM stats WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-24' GROUP BY 1, 2",
     "fact",
 )
 def _overview(fact):
