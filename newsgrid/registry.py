@@ -15,6 +15,7 @@ _NAMES = {n: n for n in (*adapter.TABLES, "orders")}
 FACT_SQL = adapter.FACT.format(**_NAMES)
 PACKED_SQL = FACT_SQL + adapter.PACKED
 MENTIONS_SQL = FACT_SQL + adapter.MENTIONS.format(**_NAMES)
+CONTEXT_SQL = PACKED_SQL + adapter.MENTIONS.format(**_NAMES)
 SERIES_SQL = adapter.SERIES.format(**_NAMES)
 
 
@@ -44,4 +45,4 @@ def count_sql(condition: str) -> str:
     return f"CAST(SUM(CASE WHEN {condition} THEN 1 ELSE 0 END) AS BIGINT)"
 
 
-from newsgrid.plans import analysis, events, extra, forecasting, ingest, lookup, more, reports, rollups, served, texts  # noqa: E402, F401
+from newsgrid.plans import analysis, context, events, extra, forecasting, ingest, lookup, more, reports, rollups, served, texts  # noqa: E402, F401
