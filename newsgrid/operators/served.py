@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgrid.operators import nearest_texts as nearest
 from newsgrid.operators import scores as C
 from newsgrid.operators import series as T
+from newsgrid.sources.stored import stored
 
 BY = ["series_id", "measure"]
 
@@ -134,14 +136,26 @@ def prepared_texts(docs: DataFrame, least: int = 150, most: int = 8000) -> DataF
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def with_coverage(events: DataFrame, pages: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """events (GlobalEventID, SOURCEURL) with their article: the text of their own page (url, text), else that of their
-    nearest text (GlobalEventID, text, distance), and which of the two it is."""
-    own = pages.where("text <> ''").groupBy("url").agg(F.min("text").alias("own_text"))
-    near = neighbours.groupBy("GlobalEventID").agg(F.min_by("text", F.struct("distance", "text")).alias("near_text"))
-    rows = events.select("GlobalEventID", "SOURCEURL").join(own, F.col("SOURCEURL") == F.col("url"), "left").join(near, "GlobalEventID", "left")
-    source = F.when(F.col("own_text").isNotNull(), "page").when(F.col("near_text").isNotNull(), "nearest").otherwise("none")
-    return rows.select("GlobalEventID", source.alias("source"), F.coalesce("own_text", "near_text").alias("text"))
+def with_coverage(events: DataFrame, pages: DataFrame, k: int = 3) -> DataFrame:
+    """events (GlobalEventID, SOURCEURL, headline) with their article: source, page_id, text and near.
+
+    source is page where the event's own page (page_id, url, text) has text, else nearest with the text of the page most
+    like the headline by words, else none. near: page ids and scores of up to k such pages, best first. Events with equal
+    headlines ask once. Of several pages with one URL the smallest page_id that has text counts.
+    """
+    pages = stored(pages.select("page_id", "url", "text").where("text <> ''"))
+    own = pages.groupBy("url").agg(F.min_by(F.struct("page_id", "text"), "page_id").alias("own"))
+    rows = events.select("GlobalEventID", "SOURCEURL", "headline").join(own, F.col("SOURCEURL") == F.col("url"), "left").drop("url")
+    rows = stored(rows.withColumn("asks", F.when(F.col("own").isNull(), F.col("headline"))))
+    asked = rows.where("asks IS NOT NULL").groupBy("asks").agg(F.min("GlobalEventID").alias("query_id"))
+    weights, stats = nearest.lists(pages, "page_id")
+    found = nearest.nearest_texts(asked, weights, stats, k, text="asks").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("page_id"), "score"))).alias("near"))
+    by_headline = asked.join(found, "query_id").select("asks", F.transform("near", lambda x: F.struct(x["page_id"].alias("page_id"), x["score"].alias("score"))).alias("near"))
+    rows = rows.join(by_headline, "asks", "left").withColumn("page_id", F.coalesce("own.page_id", F.col("near")[0]["page_id"]))
+    source = F.when(F.col("own").isNotNull(), "page").when(F.col("near").isNotNull(), "nearest").otherwise("none")
+    texts = pages.select("page_id", F.col("text").alias("page_text"))
+    rows = rows.withColumn("source", source).join(texts, "page_id", "left")
+    return rows.select("GlobalEventID", "source", "page_id", F.coalesce("own.text", "page_text").alias("text"), "near")
 
 
 def chosen_config(trials: DataFrame) -> DataFrame:

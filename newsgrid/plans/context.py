@@ -1,9 +1,10 @@
-"""Similar sets of names, and relevance by themes and articles."""
+"""Similar sets of names, relevance by themes and articles, nearest texts, and coverage of events."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsgrid.operators import nearest_texts as N
 from newsgrid.operators import scores as C
 from newsgrid.operators import set_similarity as J
 from newsgrid.registry import CONTEXT_SQL, query
@@ -48,3 +49,24 @@ SELECT seed_id, GlobalEventID, SQLDATE, theme_overlap, shared_articles, CAST(sco
 def _context(spark, sf_dir):
     fact = adapter.fact(spark, sf_dir)
     return C.scored_in_context(fact.where(F.col("GlobalEventID") % 50 == 0), fact, adapter.packed(spark, sf_dir), adapter.mentions(spark, sf_dir), 9, 10)
+
+
+_WEIGHED = "CAST(round(1000 * (1 + ln(tf)) * idf) AS BIGINT)"
+_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+
+
+@query(
+    "k04_nearest_texts",
+    f"""WITH t AS (SELECT doc_id AS id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY 1, 2),
+stats AS (SELECT term, ln(1 + CAST(number AS DOUBLE) / COUNT(*)) AS idf FROM t, (SELECT COUNT(DISTINCT id) AS number FROM t) GROUP BY term, number),
+tr AS (SELECT id, term, {_WEIGHED} AS raw FROM t JOIN stats USING (term)),
+tw AS MATERIALIZED (SELECT id, term, CAST(floor(1000000 * raw / sqrt(CAST(SUM(raw * raw) OVER (PARTITION BY id) AS DOUBLE))) AS BIGINT) AS w FROM tr),
+q AS (SELECT item_id AS query_id, term, COUNT(*) AS tf FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY 1, 2),
+qr AS (SELECT query_id, term, {_WEIGHED} AS raw FROM q JOIN stats USING (term)),
+qw AS (SELECT query_id, term, CAST(floor(1000000 * raw / sqrt(CAST(SUM(raw * raw) OVER (PARTITION BY query_id) AS DOUBLE))) AS BIGINT) AS q FROM qr),
+s AS (SELECT query_id, id, CAST(SUM(q * w) AS BIGINT) AS score FROM qw JOIN tw USING (term) GROUP BY 1, 2)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM s WHERE score > 0 QUALIFY rank <= 3""",
+)
+def _nearest(spark, sf_dir):
+    weights, stats = N.lists(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return N.nearest_texts(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), weights, stats, 3, "item_id")

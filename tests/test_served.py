@@ -5,6 +5,7 @@ from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from test_nearest_texts import brute
 
 from newsgrid.operators import lookup as L
 from newsgrid.operators import reports as P
@@ -80,10 +81,16 @@ def test_texts_and_chunks(spark):
 
 
 def test_coverage_prefers_the_own_page(spark):
-    events = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u3")], "GlobalEventID long, SOURCEURL string")
-    pages = spark.createDataFrame([("u1", "own"), ("u2", "")], "url string, text string")
-    near = spark.createDataFrame([(1, "no", 0.1), (2, "far", 0.9), (2, "close", 0.2)], "GlobalEventID long, text string, distance double")
-    assert {r.GlobalEventID: (r.source, r.text) for r in V.with_coverage(events, pages, near).collect()} == {1: ("page", "own"), 2: ("nearest", "close"), 3: ("none", None)}
+    texts = {10: ("u1", "Alpha meets Beta in Paris"), 11: ("u2", ""), 12: ("u4", "Beta talks, Paris listens: Alpha gone"), 13: ("u5", "nothing alike"), 14: ("u1", "a later page"), 15: ("u6", None), 16: ("u7", "Paris Paris")}
+    pages = spark.createDataFrame([(i, u, t) for i, (u, t) in texts.items()], "page_id long, url string, text string")
+    told = [(1, "u1", "whatever"), (2, "u2", "ALPHA meets Beta"), (3, "u3", "unknown words"), (4, None, "Paris"), (5, "u2", "ALPHA meets Beta"), (6, "u2", None), (7, "u6", "Paris")]
+    got = {r.GlobalEventID: r for r in V.with_coverage(spark.createDataFrame(told, "GlobalEventID long, SOURCEURL string, headline string"), pages, 2).collect()}
+    want = {i: [(r[2], r[3]) for r in brute([(i, t) for i, (_, t) in texts.items()], [(0, h)], 2)] for i, _, h in told}
+    assert len(got) == len(told) and (got[1].source, got[1].page_id, got[1].text, got[1].near) == ("page", 10, texts[10][1], None)
+    for i in (2, 4, 5, 7):
+        assert (got[i].source, got[i].page_id, got[i].text) == ("nearest", want[i][0][0], texts[want[i][0][0]][1])
+        assert [tuple(x) for x in got[i].near] == want[i]
+    assert [(got[i].source, got[i].page_id, got[i].text) for i in (3, 6)] == [("none", None, None)] * 2
 
 
 def test_feature_paths_agree_and_differences_show(spark):
