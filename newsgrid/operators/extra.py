@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrid.functions import scalars as S
+from newsgrid.operators.quantiles import quantiles
 
 
 def candidate_top(region_days: DataFrame, events: DataFrame, n: int = 5) -> DataFrame:
@@ -53,8 +54,8 @@ def origin_buckets(rows: DataFrame, buckets: int = 3, day: str = "event_date") -
 
 def residual_quantiles(rows: DataFrame) -> DataFrame:
     """By horizon the 10th and 90th percentiles of y - p."""
-    q = F.percentile(F.col("y") - F.col("p"), F.array(F.lit(0.1), F.lit(0.9)))
-    return rows.groupBy("h").agg(q.alias("q"), F.count("*").alias("n")).select("h", "n", F.col("q")[0].alias("low_q"), F.col("q")[1].alias("high_q"))
+    out = quantiles(rows.select("h", (F.col("y") - F.col("p")).alias("r")), ["h"], "r", [0.1, 0.9])
+    return out.select("h", "n", F.col("q")[0].alias("low_q"), F.col("q")[1].alias("high_q"))
 
 
 def attention_context(features: DataFrame, series: DataFrame, days: int = 30) -> DataFrame:

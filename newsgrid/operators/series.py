@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrid.functions import scalars as S
+from newsgrid.operators.quantiles import quantiles, weighted_medians
 
 KEY = ["series_id", "event_date"]
 
@@ -176,8 +177,7 @@ def log_intervals(fit: DataFrame, least: int = 200) -> DataFrame:
     sizes (size_bin -1) as well; bins of fewer than `least` rows are left out."""
     rows = fit.select("h", size_bin(F.col("scale")).alias("size_bin"), (F.log1p("y") - F.log1p("p")).alias("r"))
     both = rows.unionByName(rows.withColumn("size_bin", F.lit(-1)))
-    q = F.percentile("r", F.array(F.lit(0.1), F.lit(0.9)))
-    out = both.groupBy("h", "size_bin").agg(F.count("*").alias("n"), q.alias("q"))
+    out = quantiles(both, ["h", "size_bin"], "r", [0.1, 0.9])
     return out.where((F.col("n") >= least) | (F.col("size_bin") == -1)).select("h", "size_bin", F.col("q")[0].alias("low_q"), F.col("q")[1].alias("high_q"))
 
 
@@ -207,11 +207,8 @@ def rolling_intervals(rows: DataFrame, days: int, horizon: int) -> DataFrame:
 
 def horizon_scale(rows: DataFrame) -> DataFrame:
     """By horizon the weighted median of y / p with weight p: the first ratio whose running weight reaches half."""
-    usable = rows.where(F.col("p") > 1e-6).select("h", (F.col("y") / F.col("p")).alias("ratio"), F.col("p").alias("w"))
-    by_ratio = usable.groupBy("h", "ratio").agg(F.sum("w").alias("w"))
-    run = Window.partitionBy("h").orderBy("ratio")
-    upto = by_ratio.withColumns({"run": F.sum("w").over(run), "total": F.sum("w").over(Window.partitionBy("h"))})
-    return upto.where(F.col("run") >= F.col("total") / 2 - 1e-9).groupBy("h").agg(F.min("ratio").alias("scale"))
+    usable = rows.where(F.col("p") > 1e-6).select("h", (F.col("y") / F.col("p")).alias("value"), F.col("p").alias("weight"))
+    return weighted_medians(usable, ["h"]).withColumnRenamed("value", "scale")
 
 
 def block_bootstrap(values: DataFrame, block: int = 7, resamples: int = 2000, seed: int = 1) -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsgrid.operators import analysis as A
+from newsgrid.operators import events as E
 from newsgrid.operators import nearest_texts as N
+from newsgrid.operators import places as P
 from newsgrid.operators import scores as C
 from newsgrid.operators import set_similarity as J
-from newsgrid.registry import CONTEXT_SQL, query
+from newsgrid.plans.events import PRINTS_SQL
+from newsgrid.registry import CONTEXT_SQL, FACT_SQL, ORACLE_SQL, query
 from newsgrid.sources import adapter
 
 
@@ -70,3 +74,23 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 def _nearest(spark, sf_dir):
     weights, stats = N.lists(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     return N.nearest_texts(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), weights, stats, 3, "item_id")
+
+
+_PIECES = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')"
+#: The dictionary of places, as that query has it, as a further table.
+_DICTIONARY = ORACLE_SQL["e42_place_dictionary"].removeprefix(FACT_SQL)
+
+
+@query(
+    "k12_places_of_dictionary",
+    f""", {PRINTS_SQL}, dictionary AS ({_DICTIONARY}),
+d AS (SELECT name, lower(name) AS key, len({_PIECES.format("name")}) AS n FROM (SELECT min(trim(name)) AS name FROM dictionary GROUP BY lower(trim(name)))),
+p AS (SELECT global_event_id AS id, {_PIECES.format("lower(headline || '. ' || summary)")} AS pieces FROM prints),
+w AS (SELECT id, pieces, unnest(range(1, len(pieces) + 1)) AS pos FROM p),
+m AS (SELECT id, pos, name FROM w JOIN d ON array_to_string(list_slice(pieces, pos, pos + n - 1), '') = key)
+SELECT p.id, place FROM p LEFT JOIN (SELECT id, name AS place FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos, length(name) DESC, name) = 1) f ON f.id = p.id""",
+    "fact",
+)
+def _dictionary(fact):
+    texts = E.fingerprints(fact).select("global_event_id", F.concat_ws(". ", "headline", "summary").alias("text"))
+    return P.first_place(texts, A.place_dictionary(fact, 20, 50).select("name"), "global_event_id")
