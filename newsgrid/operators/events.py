@@ -62,20 +62,24 @@ def within(events: DataFrame, lat: float, long: float, km: float) -> DataFrame:
     return near.withColumn("km", S.kilometres(F.col("ActionGeo_Lat"), F.col("ActionGeo_Long"), F.lit(lat), F.lit(long))).where(F.col("km") <= km)
 
 
+def _derived() -> dict[str, Column]:
+    """What is derived from an event's own row: readable id, texts, actors, label and severity."""
+    return {
+        "fingerprint": S.fingerprint(),
+        "headline": S.headline(),
+        "summary": S.summary(),
+        "key_actors": S.key_actors(),
+        "event_type_label": S.type_label(),
+        "severity_score": S.severity(F.col("GoldsteinScale"), F.col("NumArticles")),
+        "location_name": F.left(F.coalesce("ActionGeo_FullName", F.lit("")), F.lit(100)),
+        "location_country": F.coalesce(S.filled(F.col("ActionGeo_CountryCode")), F.lit("XX")),
+        "source_text": S.url_words(F.col("SOURCEURL")),
+    }
+
+
 def fingerprints(events: DataFrame) -> DataFrame:
-    """One derived row for each event: readable id, texts, actors, label and severity."""
-    return events.select(
-        F.col("GlobalEventID").alias("global_event_id"),
-        S.fingerprint().alias("fingerprint"),
-        S.headline().alias("headline"),
-        S.summary().alias("summary"),
-        S.key_actors().alias("key_actors"),
-        S.type_label().alias("event_type_label"),
-        S.severity(F.col("GoldsteinScale"), F.col("NumArticles")).alias("severity_score"),
-        F.left(F.coalesce("ActionGeo_FullName", F.lit("")), F.lit(100)).alias("location_name"),
-        F.coalesce(S.filled(F.col("ActionGeo_CountryCode")), F.lit("XX")).alias("location_country"),
-        S.url_words(F.col("SOURCEURL")).alias("source_text"),
-    )
+    """One derived row for each event."""
+    return events.select(F.col("GlobalEventID").alias("global_event_id"), *(c.alias(name) for name, c in _derived().items()))
 
 
 def detailed(events: DataFrame, prints: DataFrame) -> DataFrame:
@@ -88,13 +92,17 @@ def top(events: DataFrame, n: int, *order: Column) -> DataFrame:
     return events.orderBy(*(order or [F.col("NumArticles").desc_nulls_last()]), "GlobalEventID").limit(n)
 
 
-def search(events: DataFrame, prints: DataFrame, start: str, end: str, kind: str | None = None, place: str | None = None, actor: str | None = None, n: int = 50) -> DataFrame:
-    """Top events by articles under the filters, with derived columns joined to the n rows only."""
+def search(events: DataFrame, start: str, end: str, kind: str | None = None, place: str | None = None, actor: str | None = None, n: int = 50, prints: DataFrame | None = None) -> DataFrame:
+    """Top events by articles under the filters, with derived columns of the n rows only: those of prints, where stored ones
+    are given, else derived from the rows themselves."""
     found = between_dates(events, start, end).where(of_type(kind) & at_place(hint=place))
     if actor is not None:
         found = found.where(with_actor(contains=actor))
-    best = top(found.select(*EVENT_COLUMNS), n)
-    return detailed(best, prints.select("global_event_id", "fingerprint", "headline", "summary", "event_type_label", "severity_score"))
+    names = ["fingerprint", "headline", "summary", "event_type_label", "severity_score"]
+    if prints is None:
+        derived = _derived()
+        return top(found, n).select(*EVENT_COLUMNS, *(derived[c].alias(c) for c in names))
+    return detailed(top(found.select(*EVENT_COLUMNS), n), prints.select("global_event_id", *names))
 
 
 def with_all_words(prints: DataFrame, words: list[str]) -> DataFrame:
@@ -140,7 +148,11 @@ def day_lists(events: DataFrame, n: int, kinds: list[str], answers: bool = False
         each.append(F.struct(second.alias("key"), F.coalesce("Actor1Name", F.lit("")).alias("part")))
     rows = events.select("GlobalEventID", "SQLDATE", "Actor1Name", "Actor2Name", "ActionGeo_FullName", "NumArticles", F.inline(F.array_distinct(F.array(*each)))).where("key IS NOT NULL")
     order = Window.partitionBy("SQLDATE", "key", "part").orderBy(F.desc("NumArticles"), "GlobalEventID")
-    return rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n).drop("at", "part")
+    rows = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n)
+    if answers:
+        order = Window.partitionBy("SQLDATE", "key").orderBy(F.desc("NumArticles"), "GlobalEventID")
+        rows = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= 3 * n)
+    return rows.drop("at", "part")
 
 
 def _met(seeds: DataFrame, events: DataFrame, before: int, after: int, n: int, kinds: list[str], answers: bool = False) -> DataFrame:

@@ -146,7 +146,7 @@ def _details(fact):
     "fact",
 )
 def _search(fact):
-    return E.search(fact, E.fingerprints(fact), START, END, "conflict", actor="ACTOR 1")
+    return E.search(fact, START, END, "conflict", actor="ACTOR 1")
 
 
 @query("g02_top_events", f"SELECT GlobalEventID, SQLDATE, EventRootCode, NumArticles, SOURCEURL FROM fact WHERE {DAYS} AND EventRootCode = '14' ORDER BY NumArticles DESC, GlobalEventID LIMIT 20", "fact")
