@@ -135,25 +135,61 @@ REGION_ALIASES = {
     "Oregon": ["OR"],
 }
 # Postal codes of first-level divisions.
-STATE_CODES = dict(
-    line.split("=")
-    for line in """AL=Alabama AK=Alaska AZ=Arizona AR=Arkansas CA=California CO=Colorado CT=Connecticut DE=Delaware FL=Florida GA=Georgia HI=Hawaii
-ID=Idaho IL=Illinois IN=Indiana IA=Iowa KS=Kansas KY=Kentucky LA=Louisiana ME=Maine MD=Maryland MA=Massachusetts MI=Michigan MN=Minnesota
-MS=Mississippi MO=Missouri MT=Montana NE=Nebraska NV=Nevada NH=New_Hampshire NJ=New_Jersey NM=New_Mexico NY=New_York NC=North_Carolina
-ND=North_Dakota OH=Ohio OK=Oklahoma OR=Oregon PA=Pennsylvania RI=Rhode_Island SC=South_Carolina SD=South_Dakota TN=Tennessee TX=Texas UT=Utah
-VT=Vermont VA=Virginia WA=Washington WV=West_Virginia WI=Wisconsin WY=Wyoming DC=District_of_Columbia""".split()
-)
-STATE_CODES = {code: name.replace("_", " ") for code, name in STATE_CODES.items()}
+STATE_CODES = {
+    "AL": "Alabama",
+    "AK": "Alaska",
+    "AZ": "Arizona",
+    "AR": "Arkansas",
+    "CA": "California",
+    "CO": "Colorado",
+    "CT": "Connecticut",
+    "DE": "Delaware",
+    "FL": "Florida",
+    "GA": "Georgia",
+    "HI": "Hawaii",
+    "ID": "Idaho",
+    "IL": "Illinois",
+    "IN": "Indiana",
+    "IA": "Iowa",
+    "KS": "Kansas",
+    "KY": "Kentucky",
+    "LA": "Louisiana",
+    "ME": "Maine",
+    "MD": "Maryland",
+    "MA": "Massachusetts",
+    "MI": "Michigan",
+    "MN": "Minnesota",
+    "MS": "Mississippi",
+    "MO": "Missouri",
+    "MT": "Montana",
+    "NE": "Nebraska",
+    "NV": "Nevada",
+    "NH": "New Hampshire",
+    "NJ": "New Jersey",
+    "NM": "New Mexico",
+    "NY": "New York",
+    "NC": "North Carolina",
+    "ND": "North Dakota",
+    "OH": "Ohio",
+    "OK": "Oklahoma",
+    "OR": "Oregon",
+    "PA": "Pennsylvania",
+    "RI": "Rhode Island",
+    "SC": "South Carolina",
+    "SD": "South Dakota",
+    "TN": "Tennessee",
+    "TX": "Texas",
+    "UT": "Utah",
+    "VT": "Vermont",
+    "VA": "Virginia",
+    "WA": "Washington",
+    "WV": "West Virginia",
+    "WI": "Wisconsin",
+    "WY": "Wyoming",
+    "DC": "District of Columbia",
+}
 # What a stated number of records may be written as.
 COUNT_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
-# Words that state a direction.
-DIRECTION_WORDS = {
-    "increase": r"\b(increas\w*|rose|rise\w*|up\b|higher|grew|growth|more)\b",
-    "decrease": r"\b(decreas\w*|fell|fall\w*|drop\w*|down\b|lower|declin\w*|fewer|less)\b",
-    "flat": r"\b(flat|stable|steady|little change|roughly (the )?same|about the same|unchanged)\b",
-    "inconclusive_low_volume": r"\b(too few|insufficient|low volume|not enough|small number|cannot|can't)\b",
-}
-
 # Labels of event codes.
 CODE_LABELS = {
     "010": "Make statement",

@@ -64,21 +64,6 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(marked, "\u0001")).alias("n", "sentence")).where(F.trim("sentence") != "")
 
 
-def causal_candidates(docs: DataFrame) -> DataFrame:
-    """Sentences that claim a cause, without those that say what the data cannot tell."""
-    rows = sentences(docs)
-    claims = F.col("sentence").rlike(r"(?i)\b(because of|due to|caused by|led to|resulted in|as a result of|driven by|triggered by)\b")
-    limits = F.col("sentence").rlike(r"(?i)\b(cannot|can't|does not|do not|no) (show|tell|explain|cause|causal)\b")
-    return rows.where(claims & ~limits)
-
-
-def dates_outside(docs: DataFrame, start: str, end: str) -> DataFrame:
-    """(doc_id, day) of ISO dates in the texts that lie outside start to end; impossible dates are left out."""
-    days = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), 0)
-    rows = docs.select("doc_id", F.explode(days).alias("raw")).select("doc_id", F.expr("try_to_date(raw, 'yyyy-MM-dd')").alias("day"))
-    return rows.where(F.col("day").isNotNull() & ~F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).distinct()
-
-
 def known_place(docs: DataFrame, places: list[str]) -> DataFrame:
     """(doc_id, place): the first of the named places in each text, the longest where several begin there. A short list."""
     ordered = sorted(places, key=lambda p: (-len(p), p))
