@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newsgrid.operators import analysis as A
 from newsgrid.operators import events as E
+from newsgrid.operators import lookup as L
 from newsgrid.operators import nearest_texts as N
 from newsgrid.operators import places as P
 from newsgrid.operators import scores as C
@@ -94,3 +95,13 @@ SELECT p.id, place FROM p LEFT JOIN (SELECT id, name AS place FROM m QUALIFY row
 def _dictionary(fact):
     texts = E.fingerprints(fact).select("global_event_id", F.concat_ws(". ", "headline", "summary").alias("text"))
     return P.first_place(texts, A.place_dictionary(fact, 20, 50).select("name"), "global_event_id")
+
+
+@query(
+    "e05_merged_distincts",
+    "SELECT CAST(date_trunc('week', SQLDATE) AS DATE) AS period, COUNT(*) AS events, COUNT(DISTINCT Actor1Name) AS Actor1Name, COUNT(DISTINCT ActionGeo_FullName) AS ActionGeo_FullName FROM fact GROUP BY 1",
+    "fact",
+)
+def _distincts(fact):
+    columns = ["Actor1Name", "ActionGeo_FullName"]
+    return L.distincts_over(L.day_sketches(fact, columns), F.to_date(F.date_trunc("week", "SQLDATE")), columns)
