@@ -207,15 +207,33 @@ def storyline(seeds: DataFrame, events: DataFrame, before: int, after: int, n: i
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def article_classes(mentions: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(GlobalEventID, articles): each event's class of equal sets of articles (source and URL); and (seed_articles,
+    articles, shared_articles, shared_sources, sample_urls) of all pairs of classes that share any, the first of them that of
+    a seed (GlobalEventID). sample_urls: up to five.
+
+    Classes meet, not events: an article that very many events name costs a row for each two classes that hold it.
+    """
+    article = F.struct(F.col("MentionSourceName").alias("source"), F.col("MentionIdentifier").alias("url"))
+    known = mentions.where("GLOBALEVENTID IS NOT NULL AND MentionSourceName IS NOT NULL AND MentionIdentifier IS NOT NULL")
+    named = known.groupBy(F.col("GLOBALEVENTID").alias("GlobalEventID")).agg(F.array_sort(F.collect_set(article)).alias("list"))
+    # two digests of the sorted list: a class is a key of 48 letters, however many articles it has
+    text = F.to_json("list")
+    keyed = named.withColumn("articles", F.concat(F.md5(text), F.hex(F.xxhash64(text))))
+    rows = keyed.groupBy("articles").agg(F.first("list").alias("list")).select("articles", F.inline("list"))
+    of_seeds = keyed.join(seeds.select("GlobalEventID"), "GlobalEventID", "left_semi").select("articles").distinct()
+    asked = rows.join(of_seeds, "articles", "left_semi").withColumnRenamed("articles", "seed_articles")
+    urls = F.array_join(F.slice(F.array_sort(F.collect_set("url")), 1, 5), " ")
+    pairs = rows.join(asked, ["source", "url"]).groupBy("seed_articles", "articles").agg(F.count("*").alias("shared_articles"), F.count_distinct("source").alias("shared_sources"), urls.alias("sample_urls"))
+    return keyed.select("GlobalEventID", "articles"), pairs
+
+
 def shared_articles(mentions: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Events that share articles (source and URL) with the seeds (GLOBALEVENTID): shared articles, sources, and up to five
-    URLs."""
-    article = ["MentionSourceName", "MentionIdentifier"]
-    named = mentions.select("GLOBALEVENTID", *article).distinct()
-    own = named.join(seeds.select("GLOBALEVENTID").distinct(), "GLOBALEVENTID", "left_semi").withColumnRenamed("GLOBALEVENTID", "seed_id")
-    met = named.join(own, article).where(F.col("GLOBALEVENTID") != F.col("seed_id"))
-    urls = F.slice(F.array_sort(F.collect_set("MentionIdentifier")), 1, 5)
-    return met.groupBy("seed_id", "GLOBALEVENTID").agg(F.count("*").alias("shared_articles"), F.count_distinct("MentionSourceName").alias("shared_sources"), F.array_join(urls, " ").alias("sample_urls"))
+    """Events that share articles with the seeds (GLOBALEVENTID): shared articles, sources, and up to five URLs."""
+    of_event, pairs = article_classes(mentions, seeds.select(F.col("GLOBALEVENTID").alias("GlobalEventID")))
+    of_seed = of_event.join(seeds.select(F.col("GLOBALEVENTID").alias("GlobalEventID")).distinct(), "GlobalEventID", "left_semi").toDF("seed_id", "seed_articles")
+    met = of_seed.join(pairs, "seed_articles").join(of_event, "articles").where(F.col("GlobalEventID") != F.col("seed_id"))
+    return met.select("seed_id", F.col("GlobalEventID").alias("GLOBALEVENTID"), "shared_articles", "shared_sources", "sample_urls")
 
 
 def suggest_actors(events: DataFrame, prefix: str, n: int) -> DataFrame:

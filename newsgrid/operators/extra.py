@@ -72,10 +72,15 @@ def attention_context(features: DataFrame, series: DataFrame, days: int = 30) ->
     return weights.groupBy("series_id").agg((F.sum(F.col("w") * F.col("total_events")) / F.sum("w")).alias("context"))
 
 
+def interval_gaps(quality: DataFrame, target: float = 0.8) -> DataFrame:
+    """(model, worst_gap, mean_width) of quality (model, coverage, width; one row a group): how far the coverage of the
+    worst group is from the target, and the mean width over groups."""
+    return quality.groupBy("model").agg(F.round(F.max(F.abs(F.col("coverage") - target)), 6).alias("worst_gap"), F.round(F.avg("width"), 4).alias("mean_width"))
+
+
 def choose_method(quality: DataFrame, target: float = 0.8) -> DataFrame:
     """The method with the smallest worst gap to the target coverage over its groups, then the smallest width."""
-    gaps = quality.groupBy("model").agg(F.round(F.max(F.abs(F.col("coverage") - target)), 6).alias("worst_gap"), F.round(F.avg("width"), 4).alias("mean_width"))
-    return gaps.orderBy("worst_gap", "mean_width", "model").limit(1)
+    return interval_gaps(quality, target).orderBy("worst_gap", "mean_width", "model").limit(1)
 
 
 def matched_cells(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -83,11 +83,26 @@ def json_rows(rows: DataFrame, column: str, schema: str = "array<struct<name str
 def series_from_lists(stored: DataFrame, column: str, prefix: str) -> DataFrame:
     """Daily series from a stored list (date, total_events, conflict_events, cooperation_events, column: JSON): an entry's
     count, and of the day's conflict and cooperation events the entry's share of all events."""
-    rows = json_rows(stored, column)
+    return _shares(json_rows(stored, column), prefix)
+
+
+def series_from_counts(stored: DataFrame, column: str, prefix: str) -> DataFrame:
+    """As series_from_lists, from a stored object of counts by name; damaged or empty objects give none."""
+    counts = F.explode(F.from_json(column, "map<string, long>")).alias("name", "count")
+    return _shares(stored.select("date", "total_events", "conflict_events", "cooperation_events", counts), prefix)
+
+
+def _shares(rows: DataFrame, prefix: str) -> DataFrame:
     part = lambda c: F.round(F.sum(F.col("count") * F.col(c) / F.greatest("total_events", F.lit(1))), 6)
     return rows.groupBy(F.concat(F.lit(prefix), F.col("name")).alias("series_id"), F.col("date").alias("event_date")).agg(F.sum("count").alias("events"), part("conflict_events").alias("conflict"), part("cooperation_events").alias("cooperation"))
 
 
+def all_list_series(stored: DataFrame) -> DataFrame:
+    """Series of actors, places and categories from the lists that a day's stored row keeps of each."""
+    actors, places = (series_from_lists(stored, c, k) for c, k in (("top_actors", "actor:"), ("top_locations", "country:")))
+    return actors.unionByName(places).unionByName(series_from_counts(stored, "event_type_distribution", "event_category:"))
+
+
 def stored_and_rebuilt(stored: DataFrame, rebuilt: DataFrame, keys: list[str], counts: list[str], averages: list[str], tolerance: float = 1e-3) -> DataFrame:
     """By kind of series (the part before the colon): rows of both, rows missing on a side, rows with other counts, and rows
     whose averages differ by more than tolerance."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from newsgrid.operators import extra as X
 from newsgrid.operators import series as T
 from newsgrid.registry import count_sql, mean_sql, query
 
@@ -111,6 +114,33 @@ def _intervals(series):
     return T.interval_quality(T.with_intervals(rows.where("part = 'test'"), T.log_intervals(rows.where("part = 'validation'"))), ["size_bin", "h"])
 
 
+_QUALITY = "SELECT '{model}' AS model, size_bin, round(avg(CASE WHEN t >= low - 1e-9 AND t <= high + 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(high - low), 4) AS width FROM {iv} GROUP BY size_bin"
+_OTHER = re.sub(r"\b(fit|q0|q|iv)\b", r"\1_2", LOGS.removeprefix(SPLIT)).replace("moving_avg_7", "seasonal_naive")
+GAPS = LOGS + _OTHER + f", quality AS ({_QUALITY.format(model='moving_avg_7', iv='iv')} UNION ALL {_QUALITY.format(model='seasonal_naive', iv='iv_2')}), gaps AS (SELECT model, round(max(abs(coverage - 0.8)), 6) AS worst_gap, round(avg(width), 4) AS mean_width FROM quality GROUP BY 1)"
+
+
+def _both_qualities(series):
+    """Quality by size of the intervals of two forecasts, each with the quantiles of its own residuals."""
+    rows = T.split(_forecasts(series), 7, 0.15, 0.15)
+
+    def of(model: str):
+        own = rows.where(F.col("model") == model)
+        found = T.with_intervals(own.where("part = 'test'"), T.log_intervals(own.where("part = 'validation'")))
+        return T.interval_quality(found, ["size_bin"]).withColumn("model", F.lit(model))
+
+    return of("moving_avg_7").unionByName(of("seasonal_naive"))
+
+
+@query("n24_interval_gaps", GAPS + " SELECT * FROM gaps", "series")
+def _gaps(series):
+    return X.interval_gaps(_both_qualities(series))
+
+
+@query("n25_chosen_intervals", GAPS + " SELECT * FROM gaps ORDER BY worst_gap, mean_width, model LIMIT 1", "series")
+def _chosen_intervals(series):
+    return X.choose_method(_both_qualities(series))
+
+
 @query(
     "n23_rolling_intervals",
     WINDOWS

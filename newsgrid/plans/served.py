@@ -112,6 +112,17 @@ def _list_series(fact):
     return V.series_from_lists(_stored(fact), "top_actors", "actor:")
 
 
+@query(
+    "e30_series_of_all_lists",
+    f""", {SUMMARY_SQL}, each AS (SELECT 'actor:' || name AS series_id, date, count FROM top_a UNION ALL SELECT 'country:' || name, date, count FROM top_p UNION ALL SELECT 'event_category:' || type, date, n FROM types)
+SELECT series_id, date AS event_date, count AS events, round(CAST(count * conflict_events AS DOUBLE) / greatest(total_events, 1), 6) AS conflict, round(CAST(count * cooperation_events AS DOUBLE) / greatest(total_events, 1), 6) AS cooperation FROM each JOIN totals USING (date)""",
+    "fact",
+)
+def _all_lists(fact):
+    summary = R.daily_summary(fact).select("date", "total_events", "conflict_events", "cooperation_events", "top_actors", "top_locations", "event_type_distribution")
+    return V.all_list_series(V.list_to_json(V.list_to_json(V.list_to_json(summary, "top_actors"), "top_locations"), "event_type_distribution"))
+
+
 @query(
     "a20_stored_and_rebuilt",
     f", {SERIES_IDS}, r AS (SELECT series_id, SQLDATE AS d, COUNT(*) AS n FROM ids WHERE series_id IS NOT NULL GROUP BY 1, 2) SELECT split_part(series_id, ':', 1) AS kind, {count_sql('dayofmonth(d) <> 3')} AS matched, CAST(0 AS BIGINT) AS only_stored, {count_sql('dayofmonth(d) = 3')} AS only_rebuilt, {count_sql('dayofmonth(d) = 5')} AS counts_differ, CAST(0 AS BIGINT) AS averages_differ FROM r GROUP BY 1",

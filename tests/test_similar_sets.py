@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from newsgrid.operators import events as E
 from newsgrid.operators import scores as C
 from newsgrid.operators import set_similarity as J
 
@@ -71,7 +72,7 @@ def test_terms_of_themes_and_articles(spark):
 def test_classes_of_articles(spark):
     mentions = [(1, "s", "u"), (1, "s", "v"), (2, "s", "v"), (2, "s", "u"), (2, "s", "u"), (3, "t", "v"), (4, "s", "u"), (4, "t", "v"), (None, "s", "u")]
     frame = spark.createDataFrame(mentions, "GLOBALEVENTID long, MentionSourceName string, MentionIdentifier string")
-    of_event, pairs = C.article_classes(frame, spark.createDataFrame([(1,), (4,)], "GlobalEventID long"))
+    of_event, pairs = E.article_classes(frame, spark.createDataFrame([(1,), (4,)], "GlobalEventID long"))
     classes = {r.GlobalEventID: r.articles for r in of_event.collect()}
     assert len(classes) == 4 and len(set(classes.values())) == 3 and classes[1] == classes[2]
     got = {(r.seed_articles, r.articles): (r.shared_articles, r.shared_sources) for r in pairs.collect()}
