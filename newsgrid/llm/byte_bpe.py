@@ -76,7 +76,19 @@ def serialised(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
-class ByteBpe:
+class Decoder:
+    """The byte strings of the pieces of one rank file: letters mapped back to bytes. Without the model, which only encodes."""
+
+    def __init__(self, path: str):
+        tokens = read_ranks(path)
+        # a letter's number is 256 and its byte: the low half of its two bytes
+        self.bytes = [letters(t).encode("utf-16-le")[::2] for t in tokens]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+
+
+class ByteBpe(Decoder):
     """Encoder and decoder of one rank file.
 
     A text in which every white space is a single blank or line feed between two other characters is cut before each
@@ -85,18 +97,16 @@ class ByteBpe:
     up to about `most` segments; those met once are forgotten first.
     """
 
-    def __init__(self, path: str, pattern: str | None = None, most: int = 250_000):
+    def __init__(self, path: str, pattern: str | None = None, most: int = 200_000):
         import regex
         import sentencepiece
         from public_tokenizers import PATTERN
 
+        super().__init__(path)
         self.split = regex.compile(pattern or PATTERN).findall
         self.plain = pattern in (None, PATTERN)
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(read_ranks(path)))
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size() - 1)]
-        self.whole = {p: i for i, p in enumerate(pieces)}
-        back = {letter: b for b, letter in enumerate(_LETTERS)}
-        self.bytes = [bytes(map(back.__getitem__, p)) for p in pieces]
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised(self.bytes))
+        self.whole = {letters(t): i for i, t in enumerate(self.bytes)}
         self.most = most
         self._forget()
 
@@ -171,9 +181,6 @@ class ByteBpe:
             for own in chunks:
                 yield next(parts) if len(own) == 1 else np.concatenate([next(parts) for _ in own])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
-
 
 def _sizes(lengths: pa.Array) -> np.ndarray:
     return pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
@@ -216,7 +223,7 @@ def decode(rows: DataFrame, ranks: str | None = None, ids: str = "ids", name: st
     schema = StructType([*rows.schema.fields, StructField(name, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = kept(ByteBpe, ranks or vocabulary("byte_bpe_50k.tiktoken"))
+        bpe = kept(Decoder, ranks or vocabulary("byte_bpe_50k.tiktoken"))
         for b in batches:
             for a, n in _runs(_sizes(pc.list_value_length(b.column(ids)))):
                 part = b.slice(a, n)
