@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsgrid.functions import scalars as S
 from newsgrid.operators.quantiles import quantiles, weighted_medians
+from newsgrid.sources.stored import stored
 
 KEY = ["series_id", "event_date"]
 
@@ -211,19 +212,33 @@ def horizon_scale(rows: DataFrame) -> DataFrame:
     return weighted_medians(usable, ["h"]).withColumnRenamed("value", "scale")
 
 
-def block_bootstrap(values: DataFrame, block: int = 7, resamples: int = 2000, seed: int = 1) -> DataFrame:
-    """2.5th and 97.5th percentiles of means of moving-block resamples. values: (position from 0, value), one row a day.
+def block_bootstrap(values: DataFrame, by: list[str] = [], block: int = 7, resamples: int = 2000, seed: int = 1) -> DataFrame:  # noqa: B006
+    """2.5th and 97.5th percentiles of means of moving-block resamples, and the mean, of each group: by, low, high, mean.
 
-    Resample r draws its k-th block start by a hash of (seed, r, k); draws meet values by equality on position.
+    values: (*by, position, value), one row a day; only the order of positions counts. Resample r of n days is
+    ceil(n / block) blocks of `block` days, all of them within the days, the last one cut so that it has n days; its k-th
+    block starts where a hash of (seed, r, k) says. Null values are left out, no rows give no groups.
+
+    A block's sum is what a resample needs of it, and the number of times that a resample draws a start is its weight: sums
+    of blocks meet draws by equality on group and start, and no day is copied into a resample. Draws depend on the number of
+    days alone, so that groups with as many days share them.
     """
-    n = values.count()
-    if n == 0:
-        return values.sparkSession.createDataFrame([], "low double, high double, mean double")
-    block = min(block, n)
-    k = -(-n // block)
-    draws = values.sparkSession.range(resamples).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    start = F.pmod(F.xxhash64(F.lit(seed), "id", "k"), F.lit(n - block + 1))
-    cells = draws.withColumn("start", start).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("k") * block + F.col("j") < n)
-    means = cells.withColumn("position", F.col("start") + F.col("j")).join(values, "position").groupBy("id").agg(F.avg("value").alias("m"))
-    q = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return q.crossJoin(values.agg(F.avg("value").alias("mean"))).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "mean")
+    rows = values.where("value IS NOT NULL").select(*by, "position", "value")
+    order = Window.partitionBy(*by).orderBy("position")
+    ahead = order.rowsBetween(0, block - 1)
+    days = rows.withColumns({"start": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(*by)), "next": F.collect_list("value").over(ahead)})
+    size = F.least(F.lit(block), F.col("n"))
+    days = days.withColumns({"blocks": F.ceil(F.col("n") / size), "room": F.col("n") - size + 1}).withColumn("rest", F.col("n") - (F.col("blocks") - 1) * size)
+    total = lambda length: F.aggregate(F.slice("next", F.lit(1), length.cast("int")), F.lit(0.0), lambda s, x: s + x)
+    days = stored(days.select(*by, "start", "n", "blocks", "room", "value", total(size).alias("whole"), total(F.col("rest")).alias("part")))
+    kinds = days.select("n", "blocks", "room").distinct()
+    draws = kinds.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    start = F.pmod(F.xxhash64(F.lit(seed), "r", "k"), "room").alias("start")
+    last = F.col("k") == F.col("blocks") - 1
+    draws = draws.select("n", "r", start, last.alias("last")).groupBy("n", "start", "r").agg(F.count_if(~F.col("last")).alias("times"), F.count_if("last").alias("cut"))
+    sums = days.drop("blocks", "room", "value").join(draws, ["n", "start"]).groupBy(*by, "n", "r")
+    means = sums.agg((F.sum(F.col("whole") * F.col("times") + F.col("part") * F.col("cut")) / F.col("n")).alias("m"))
+    q = means.groupBy(*by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    means_of = days.groupBy(*by).agg(F.avg("value").alias("mean"))
+    both = q.join(means_of, by) if by else q.crossJoin(means_of).where("q IS NOT NULL")
+    return both.select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "mean")

@@ -14,6 +14,7 @@ from newsgrid.operators import scores as C
 from newsgrid.plans.events import PRINTS_SQL
 from newsgrid.plans.more import SUMMARY_SQL
 from newsgrid.registry import ORACLE_SQL, count_sql, mean_sql, query
+from newsgrid.sources.stored import stored
 
 
 def _q(x: str) -> str:
@@ -132,8 +133,8 @@ def _reranked(fact_or_spark, sf_dir):
 
     fact = read(fact_or_spark, sf_dir)
     seeds = fact.where(F.col("GlobalEventID") % 50 == 0)
-    scores = C.candidates(seeds, fact, 7).select(F.col("s_GlobalEventID").alias("seed_id"), "GlobalEventID", C.relevance().alias("score"))
-    return L.reranked(E.storyline(seeds, fact, 7, 5, 15), scores)
+    storylines = stored(E.storyline(seeds, fact, 7, 5, 15))
+    return L.reranked(storylines, C.scored_pairs(storylines, seeds, fact))
 
 
 @query(

@@ -14,6 +14,7 @@ from newsgrid.plans.extra import CONTEXT
 from newsgrid.plans.forecasting import LONG, SERIES_IDS, WINDOWS, _forecasts
 from newsgrid.plans.rollups import SUMMARY_SQL
 from newsgrid.registry import ORACLE_SQL, count_sql, query
+from newsgrid.sources.stored import stored
 
 STATS = """, aged AS (SELECT *, row_number() OVER (PARTITION BY series_id, measure ORDER BY event_date DESC) AS age FROM long),
 stats AS (SELECT series_id, measure, COUNT(*) AS days, CAST(SUM(CASE WHEN y > 0 THEN 1 ELSE 0 END) AS BIGINT) AS active, avg(y) AS mean, avg(y) FILTER (age <= 7) AS recent, stddev_pop(y) FILTER (age <= 30) AS dev FROM aged GROUP BY 1, 2)"""
@@ -203,6 +204,21 @@ def _decisions(series):
     return V.decision(rows.withColumns({"lo": gap - 0.05, "hi": gap + 0.05})).select("series_id", "decision")
 
 
+@query("n28_bootstrap_decisions")
+def _resampled_decisions(spark, sf_dir):
+    """As n28_decisions, with the interval of each series' daily error difference from moving-block resamples, all series in
+    one pass. SQL cannot tell the resamples; tests compare them with NumPy."""
+    from newsgrid.sources.adapter import daily_series
+
+    error = F.abs(F.col("p") - F.col("y"))
+    of = lambda m, v: F.avg(F.when(F.col("model") == m, v))
+    good = F.when(error <= 3, 1.0).otherwise(0.0)
+    forecasts = stored(_forecasts(daily_series(spark, sf_dir)).where("model IN ('moving_avg_7', 'seasonal_naive')"))
+    rows = forecasts.groupBy("series_id").agg(of("moving_avg_7", error).alias("a_mae"), of("seasonal_naive", error).alias("b_mae"), of("moving_avg_7", good).alias("a_coverage"), of("seasonal_naive", good).alias("b_coverage"))
+    days = forecasts.groupBy("series_id", F.col("event_date").alias("position")).agg((of("moving_avg_7", error) - of("seasonal_naive", error)).alias("value"))
+    return V.decision(rows.join(T.block_bootstrap(days, ["series_id"]).withColumnsRenamed({"low": "lo", "high": "hi"}), "series_id")).select("series_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "decision")
+
+
 @query("n29_same_features")
 def _same(spark, sf_dir):
     """Features as training builds them, over all series at once, and as serving does, a series' own days read again; SQL
