@@ -178,15 +178,6 @@ def chosen_config(trials: DataFrame) -> DataFrame:
     return trials.orderBy("validation_mae", "config").limit(1)
 
 
-def select_by_validation(run: Callable[[dict], float], trials: list[dict], variants: list[dict]) -> tuple[dict, list[tuple[dict, float]]]:
-    """The best configuration after two stages: all trials, then each variant of the best of them. run fits and returns the
-    validation error; every fit is a Spark job of its own, and only errors come back."""
-    tried = [(t, run(t)) for t in trials]
-    best = min(tried, key=lambda x: x[1])[0]
-    tried += [({**best, **v}, run({**best, **v})) for v in variants]
-    return min(tried, key=lambda x: x[1])[0], tried
-
-
 def decision(candidates: DataFrame, floor: float = 0.75) -> DataFrame:
     """One row (decision) from candidates (a_mae, a_coverage, b_mae, b_coverage, lo, hi): those under the coverage floor are
     out; of two, the lower error, but b where the interval of a's error less b's includes 0."""

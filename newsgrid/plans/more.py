@@ -1,4 +1,4 @@
-"""Calendar helpers, storyline scores, risk, boosted trees and further checks."""
+"""Calendar helpers, storyline scores, risk and further checks."""
 
 from __future__ import annotations
 
@@ -138,17 +138,3 @@ def _risk(series):
     order = Window.partitionBy("series_id", "measure").orderBy(F.desc("event_date"))
     last = long.withColumn("r", F.row_number().over(order)).where("r <= 7").groupBy("series_id", "measure").agg(F.avg("y").alias("p")).withColumn("h", F.lit(1))
     return C.risk(long, last).select("series_id", "measure", "risk_score", "risk_level")
-
-
-@query("n11_boosted_trees")
-def _boosted(spark, sf_dir):
-    """Held-out error of boosted trees and of the seasonal baseline; learned, so it is tested against the baseline."""
-    from newsgrid.sources.adapter import daily_series
-
-    wins = T.windows(T.measures(T.densify(daily_series(spark, sf_dir))))
-    rows = T.split(C.tree_rows(wins.where("measure = 'total'")), 7, 0.15, 0.15)
-    out = C.boosted(rows.where("part = 'train'"), rows.where("part = 'test'"))
-    long = out.select("h", "y", F.inline(F.array(F.struct(F.lit("boosted").alias("model"), F.col("p")), F.struct(F.lit("seasonal_naive").alias("model"), F.col("seasonal").alias("p")))))
-    return T.error_metrics(long, ["model", "h"])
-
-

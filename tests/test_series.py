@@ -1,4 +1,4 @@
-"""Properties of splits, intervals, resampling and learned forecasts."""
+"""Properties of splits, intervals and resampling."""
 
 from datetime import date, timedelta
 
@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsgrid.operators import scores as C
 from newsgrid.operators import series as T
 
 
@@ -42,13 +41,6 @@ def test_bootstrap(spark):
     assert T.block_bootstrap(wavy, resamples=400).first() == a
 
 
-def test_trees_beat_the_seasonal_baseline(spark):
-    rows = C.tree_rows(T.windows(long(spark, 500)))
-    out = C.boosted(rows.where("event_date < DATE '2025-02-01'"), rows.where("event_date >= DATE '2025-02-15'"))
-    ours, base = out.agg(F.avg(F.abs(F.col("p") - F.col("y"))), F.avg(F.abs(F.col("seasonal") - F.col("y")))).first()
-    assert ours < base
-
-
 @pytest.mark.parametrize("least", [0, 10**9])
 def test_series_filter(spark, least):
     s = spark.createDataFrame([("a", date(2024, 1, 1), 1), ("a", date(2024, 1, 4), 2)], "series_id string, event_date date, total_events long")
