@@ -36,15 +36,17 @@ def _parts(spark, sf_dir: str) -> DataFrame:
     return stored(T.split(_rows(daily_series(spark, sf_dir)), 7, 0.15, 0.15).where("part IS NOT NULL"))
 
 
-_LAGS_SQL = ", ".join(f"round(ln(1 + x[{i + 1}]), 4) + 0.0 AS {c}" for i, c in enumerate(B.LAGS))
-_LAST_SQL = ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in B.LAST)
+_LAGS_SQL = ", ".join(f"round(ln(1 + x[{i + 1}]), 7) + 0.0 AS {c}" for i, c in enumerate(B.LAGS))
+#: The two averages are rounded where the series are derived, and engines settle ties of that apart; n29 compares them.
+_COMPARED = [c for c in B.LAST if c not in ("last3", "last4")]
+_LAST_SQL = ", ".join(f"round({c}, 7) + 0.0 AS {c}" for c in _COMPARED)
 
 
-@query("n09_tree_inputs", INPUTS + f" SELECT series_id, measure, event_date, h, {_LAGS_SQL}, {_LAST_SQL}, round(ln(1 + seasonal), 4) AS seasonal_log, weekday, kind, round(ln(1 + y) - ln(1 + seasonal), 4) + 0.0 AS residual FROM inputs", "series")
+@query("n09_tree_inputs", INPUTS + f" SELECT series_id, measure, event_date, h, {_LAGS_SQL}, {_LAST_SQL}, round(ln(1 + seasonal), 7) + 0.0 AS seasonal_log, weekday, kind, round(ln(1 + y) - ln(1 + seasonal), 7) + 0.0 AS residual FROM inputs", "series")
 def _inputs(series):
-    numbers = [(F.round(c, 4) + 0.0).alias(c) for c in [*B.LAGS, *B.LAST]]
-    residual = (F.round(B.label("residual"), 4) + 0.0).alias("residual")
-    return _rows(series).select("series_id", "measure", "event_date", "h", *numbers, F.round("seasonal_log", 4).alias("seasonal_log"), "weekday", "kind", residual)
+    numbers = [(F.round(c, 7) + 0.0).alias(c) for c in [*B.LAGS, *_COMPARED]]
+    residual = (F.round(B.label("residual"), 7) + 0.0).alias("residual")
+    return _rows(series).select("series_id", "measure", "event_date", "h", *numbers, (F.round("seasonal_log", 7) + 0.0).alias("seasonal_log"), "weekday", "kind", residual)
 
 
 @query("n11_boosted_trees")

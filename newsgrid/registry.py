@@ -45,4 +45,4 @@ def count_sql(condition: str) -> str:
     return f"CAST(SUM(CASE WHEN {condition} THEN 1 ELSE 0 END) AS BIGINT)"
 
 
-from newsgrid.plans import analysis, events, extra, forecasting, ingest, lookup, more, reports, rollups, served, texts, context, trees  # noqa: E402, F401
+from newsgrid.plans import analysis, events, extra, forecasting, ingest, lookup, more, reports, rollups, served, texts, context, trees, names  # noqa: E402, F401
