@@ -38,11 +38,15 @@ def timeline(events: DataFrame, milestones: int = 3) -> DataFrame:
     """By seed (first actor): span, duration, and the first `milestones` events by articles x |score| with their reasons."""
     heat = F.coalesce("NumArticles", F.lit(0)) * F.abs(F.coalesce("GoldsteinScale", F.lit(0.0)))
     reason = F.concat_ws(", ", F.when(F.col("NumArticles") > 80, "wide coverage"), F.when(F.abs("GoldsteinScale") > 7, "extreme score"))
-    order = Window.partitionBy("Actor1Name").orderBy(heat.desc(), "GlobalEventID")
-    own = events.where("Actor1Name IS NOT NULL").withColumns({"r": F.row_number().over(order), "reason": reason})
+    own = events.where("Actor1Name IS NOT NULL")
+    spans = own.groupBy("Actor1Name").agg(F.min("SQLDATE").alias("start"), F.max("SQLDATE").alias("end"), F.count("*").alias("events"))
+    # the rank is filtered where it is made, so that tasks keep an actor's first events only before the shuffle
+    order = Window.partitionBy("Actor1Name").orderBy(F.desc("heat"), "GlobalEventID")
+    first = own.select("Actor1Name", "GlobalEventID", heat.alias("heat"), reason.alias("reason")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= milestones)
     text = F.concat(F.col("GlobalEventID").cast("string"), F.lit(":"), F.col("reason"))
-    marks = F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= milestones, F.struct("r", text.alias("t"))))), lambda x: x["t"])
-    return own.groupBy("Actor1Name").agg(F.min("SQLDATE").alias("start"), F.max("SQLDATE").alias("end"), F.count("*").alias("events"), F.array_join(marks, "; ").alias("milestones")).withColumn("days", F.datediff("end", "start") + 1)
+    marks = F.transform(F.array_sort(F.collect_list(F.struct("r", text.alias("t")))), lambda x: x["t"])
+    marked = first.groupBy("Actor1Name").agg(F.array_join(marks, "; ").alias("milestones"))
+    return spans.join(marked, "Actor1Name", "left").select("Actor1Name", "start", "end", "events", F.coalesce("milestones", F.lit("")).alias("milestones"), (F.datediff("end", "start") + 1).alias("days"))
 
 
 def origin_buckets(rows: DataFrame, buckets: int = 3, day: str = "event_date") -> DataFrame:
