@@ -78,3 +78,21 @@ def test_classes_of_articles(spark):
     got = {(r.seed_articles, r.articles): (r.shared_articles, r.shared_sources) for r in pairs.collect()}
     one, three, four = classes[1], classes[3], classes[4]
     assert got == {(one, one): (2, 1), (one, four): (1, 1), (four, one): (1, 1), (four, three): (1, 1), (four, four): (2, 2)}
+
+
+def test_items_beyond_the_masks(spark):
+    """Sets of frequent items, which are bits, and of rare ones, which stay arrays: 300 items with ids, all pairs by force."""
+    every = {i: {f"n{i % 300}", f"n{i * 7 % 300}", f"n{i * i % 300}", f"rare{i // 2}"} for i in range(600)}
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in every.items()], "id long, names array<string>")
+    found = J.similar_sets(J.distinct_sets(frame, "id", F.col("names"), F.lit(True)), 0.15).collect()
+    got = {(r.query_set, r.other_set): r.overlap for r in found}
+    sets = {frozenset(s): i for i, s in reversed(every.items())}
+    want = {(i, j): len(a & b) for a, i in sets.items() for b, j in sets.items() if i != j and len(a & b) >= 0.15 * len(a | b)}
+    assert got == want and len(got) == len(found)
+
+
+def test_pairs_are_compared_as_bits(spark):
+    """Up to 252 items no arrays go through the join."""
+    frame = spark.createDataFrame([(i, [f"n{i % 20}", f"n{i % 7}"]) for i in range(50)], "id long, names array<string>")
+    sets = J.distinct_sets(frame, "id", F.col("names"), F.lit(True))
+    assert "array_intersect(items" not in J.similar_sets(sets, 0.15)._jdf.queryExecution().optimizedPlan().toString()
