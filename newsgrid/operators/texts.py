@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,17 +75,126 @@ def known_place(docs: DataFrame, places: list[str]) -> DataFrame:
     return docs.select("doc_id", F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), pattern, 1), F.lit("")).alias("place"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, n: int, blocks: int = 16) -> DataFrame:
-    """(query_id, rank, vec_id, cosine) of the n nearest vectors to each query.
-
-    Vectors are dealt to blocks by a hash of their id, and each query meets every block: an equality join, of which each
-    block keeps n rows a query.
+class _Best:
+    """The n best vectors of each query so far, by cosine, then id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, n: int):
+        self.ids, self.vectors, self.n = ids, vectors, n
+        self.squares = _in_order(vectors, vectors)
+        self.unit = vectors / np.sqrt(self.squares)[:, None]
+        self.floor = np.full(len(ids), -np.inf)
+        self.query, self.vec, self.cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """A product of matrices says which pairs come near a floor; only their cosines are added up in order."""
+        squares = _in_order(vectors, vectors)
+        about = self.unit @ (vectors / np.sqrt(squares)[:, None]).T
+        floor = self.floor
+        if len(ids) > self.n and not np.isfinite(floor).all():
+            # one more than n, as a query may meet itself; repeated ids, more than once
+            once = np.unique(ids).size == len(ids)
+            floor = np.maximum(floor, np.partition(about, -self.n - 1, axis=1)[:, -self.n - 1] if once else -np.inf)
+        q, v = np.nonzero((about >= floor[:, None] - 1e-9) & (self.ids[:, None] != ids[None, :]))
+        if not len(q):
+            return
+        parts = [slice(at, at + (1 << 16)) for at in range(0, len(q), 1 << 16)]
+        dots = np.concatenate([_in_order(self.vectors[q[p]], vectors[v[p]]) for p in parts])
+        cosine = dots / np.sqrt(self.squares[q] * squares[v])
+        query, vec, cosine = np.concatenate([self.query, q]), np.concatenate([self.vec, ids[v]]), np.concatenate([self.cosine, cosine])
+        order = np.lexsort([vec, -cosine, query])
+        query, vec, cosine = query[order], vec[order], cosine[order]
+        first = np.searchsorted(query, np.arange(len(self.ids)))
+        rank = np.arange(len(query)) - first[query]
+        last = rank == self.n - 1
+        self.floor[query[last]] = cosine[last]
+        kept = rank < self.n
+        self.query, self.vec, self.cosine = query[kept], vec[kept], cosine[kept]
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added up from the first component to the last, as an aggregate over arrays does."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _nearest_plain(queries: DataFrame, vectors: DataFrame, n: int, size: int, shards: int, most: int) -> DataFrame:
+    """(query_id, vec_id, cosine): at least the n best of each query, of vectors with `size` components and a length.
+
+    Queries are dealt to groups of about `most`, vectors to shards; a cell of a group and a shard holds its queries and
+    streams its vectors past them, so a task keeps n rows a query. Vectors are copied once for each group.
+    """
+    groups = max(1, -(-queries.count() // most))
+    part = lambda name, c, of: F.pmod(F.xxhash64(F.lit(name), c), F.lit(of))
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)).cast("array<bigint>"))
+    of_queries = queries.select(F.lit(0).alias("kind"), part("group", "vec_id", groups).alias("group"), each(shards).alias("shard"), F.col("vec_id").cast("long").alias("id"), "v")
+    of_vectors = vectors.select(F.lit(1).alias("kind"), each(groups).alias("group"), part("shard", "vec_id", shards).alias("shard"), F.col("vec_id").cast("long").alias("id"), "v")
+    cells = of_queries.unionByName(of_vectors).select((F.col("group") * shards + F.col("shard")).alias("cell"), "kind", "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, best, ids, held = None, None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(best.ids[best.query]), pa.array(best.vec), pa.array(best.cosine)], ["query_id", "vec_id", "cosine"])
+
+        for b in batches:
+            keys = b.column("cell").to_numpy() * 2 + b.column("kind").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for x, y in zip(edges[:-1], edges[1:]):
+                if y == x:
+                    continue
+                now, kind = divmod(int(keys[x]), 2)
+                if now != cell:
+                    yield from out()
+                    cell, best, ids, held = now, None, [], []
+                own = b.column("id").slice(x, y - x).to_numpy()
+                rows = b.column("v").slice(x, y - x).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                if kind == 0:
+                    ids.append(own)
+                    held.append(rows)
+                elif ids:
+                    best = best or _Best(np.concatenate(ids), np.concatenate(held), n)
+                    for at in range(0, len(own), 512):
+                        best.add(own[at : at + 512], rows[at : at + 512])
+        yield from out()
+
+    dealt = cells.repartition(groups * shards, "cell").sortWithinPartitions("cell", "kind")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, cosine double")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, n: int, blocks: int = 16, shards: int = 32, most: int = 4096) -> DataFrame:
+    """(query_id, rank, vec_id, cosine) of the n nearest vectors to each query. Ids are whole numbers.
+
+    Every query is compared with every vector: by products of matrices in the tasks, which settle the pairs that are far
+    from a query's n best; the others' cosines are those of plain sums in order. Pairs in which a vector is null or empty,
+    has null or non-finite components, no length or another size than most others have no such bound. They are compared by
+    array functions: vectors are dealt to blocks by a hash of their id, and each query meets every block, of which each
+    keeps n rows a query.
     """
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    able = F.coalesce(finite & F.exists("embedding", lambda x: F.abs(x) > 1e-60) & F.forall("embedding", lambda x: F.abs(x) < 1e60), F.lit(False))
+    usual = vectors.where(able).groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    size = usual["size"] if usual else 0
+    plain = F.coalesce(able & (F.size("embedding") == size), F.lit(False)) & F.col("vec_id").isNotNull()
+    typed = vectors.schema["vec_id"].dataType
+    best = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("cosine"), "vec_id"))
+    odd = _nearest_odd(queries.where(~plain), vectors, n, blocks).unionByName(_nearest_odd(queries.where(plain), vectors.where(~plain), n, blocks))
+    near = odd
+    if usual:
+        kept = lambda df: df.where(plain).select("vec_id", F.col("embedding").alias("v"))
+        found = _nearest_plain(kept(queries), kept(vectors), n, size, shards, most)
+        near = found.select(F.col("query_id").cast(typed).alias("query_id"), F.col("vec_id").cast(typed).alias("vec_id"), "cosine").unionByName(odd)
+    return near.withColumn("rank", best()).where(F.col("rank") <= n).select("query_id", "vec_id", "cosine", "rank")
+
+
+def _nearest_odd(queries: DataFrame, vectors: DataFrame, n: int, blocks: int) -> DataFrame:
+    """(query_id, vec_id, cosine): the n best of each query and block by array functions."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), dot("embedding", "embedding").alias("qq"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     c = vectors.select("vec_id", F.col("embedding").alias("v"), dot("embedding", "embedding").alias("vv"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     score = dot("q", "v") / F.sqrt(F.col("qq") * F.col("vv"))
     rows = c.join(q, "block").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("cosine"), "block")
-    best = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("cosine"), "vec_id"))
-    near = rows.withColumn("rank", best("block")).where(F.col("rank") <= n)
-    return near.withColumn("rank", best()).where(F.col("rank") <= n).select("query_id", "vec_id", "cosine", "rank")
+    order = Window.partitionBy("query_id", "block").orderBy(F.desc("cosine"), "vec_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "vec_id", "cosine")
