@@ -183,16 +183,19 @@ def causal_candidates(docs: DataFrame) -> DataFrame:
 def record_claims(docs: DataFrame) -> DataFrame:
     """(doc_id, n, sentence, claimed, quoted, days, articles): sentences that say a number of records, in words or digits,
     and name dates or an article count of each. days and articles are ranges (low, high): one date or count, or two that
-    stand between ... and ... or on the two sides of to. What stands in parentheses belongs to neither."""
+    stand between ... and ... or on the two sides of to. What stands in parentheses belongs to neither.
+
+    Sentences without a digit or without any of the words for records are left out first: they have no date or count of
+    each, or no claim. Dates and counts of each are looked for in sentences that hold a claim only."""
     count = rf"(?:{'|'.join(K.COUNT_WORDS)}|\d{{1,2}})"
     masked = F.regexp_replace(F.lower(F.regexp_replace("sentence", rf"(?i)\b{_ISO}\b|\b{_MONTH}\.?\s+\d{{1,2}}(?!\d)(?:st|nd|rd|th)?|\b\d{{1,2}}\s+{_MONTH}\b", "#")), r"[^a-z0-9#%/.-]+", " ")
     said = F.regexp_extract_all(masked, F.lit(rf"(?<![\d/.#-])(?:\b([a-z]+) )?(?<![\w.-]){count} (?:of the )?(?:[a-z-]+ ){{0,2}}?{_any(RECORDS)}\b"), 0)
     claim = F.transform(said, lambda x: F.struct(F.regexp_extract(x, rf"^([a-z]+) {count}\b", 1).alias("before"), F.regexp_extract(x, rf"(?:^|^[a-z]+ )({count})\b", 1).alias("count")))
     claim = F.filter(claim, lambda x: ~x["before"].isin(LIST_SIZES))
     words = F.create_map(*(x for i, k in enumerate(K.COUNT_WORDS) for x in (F.lit(k), F.lit(i))))
-    counts = F.transform(claim, lambda x: F.struct(F.coalesce(words[x["count"]], x["count"].try_cast("int")).alias("n"), x["count"].rlike("^[0-9]").alias("digits")))
+    counts = F.transform(claim, lambda x: F.struct(F.coalesce(words[x["count"]], x["count"].try_cast("int")).alias("n"), x["count"].rlike("^[0-9]").alias("digits"), F.col("sentence").alias("sentence")))
 
-    outside = F.lower(F.regexp_replace("sentence", r"\([^()]*\)", " "))
+    outside = F.col("outside")
     dated = F.array_sort(F.array_distinct(F.filter(F.transform(written_dates(outside, F.year("year")), lambda x: x["day"]), lambda d: d.isNotNull())))
     # a date's own hyphens are no range
     ranged = F.regexp_replace(outside, rf"{_ISO}|{_MONTH}\.?\s+\d{{1,2}}(?!\d)|\b\d{{1,2}}\s+{_MONTH}", "#").rlike(r"between[^#]*#[^#]{0,8}\band\b[^#]*#|#[^#]{0,8}(?:\bto\b|\bthrough\b|–)[^#]*#|#\s*[-–]\s*\d{1,2}\b")
@@ -208,9 +211,14 @@ def record_claims(docs: DataFrame) -> DataFrame:
         both = F.transform(F.regexp_extract_all(x, F.lit(r"\d[\d,]*"), 0), number)
         return F.when(x.rlike("between| to "), F.array(span(F.array_min(both), F.array_max(both)))).otherwise(F.transform(both, lambda n: span(n, n)))
 
-    rows = X.sentences(docs).withColumn("year", F.lit("2024-01-01").cast("date")).withColumn("dated", dated)
-    rows = rows.select("doc_id", "n", "sentence", F.explode(counts).alias("c"), days.alias("days"), F.flatten(F.transform(each, ranges)).alias("articles"))
-    return rows.select("doc_id", "n", "sentence", F.col("c.n").alias("claimed"), F.col("c.digits").alias("digits"), "days", "articles").where("claimed IS NOT NULL AND (size(days) > 0 OR size(articles) > 0)")
+    able = F.col("sentence").rlike("[0-9]") & F.lower("sentence").rlike("record|event|entr|incident")
+    # each claim carries its sentence: Catalyst would take what is asked of the sentence itself to those without a claim
+    rows = X.sentences(docs).where(able).select("doc_id", "n", F.explode(counts).alias("c")).select("doc_id", "n", "c.sentence", F.col("c.n").alias("claimed"), F.col("c.digits").alias("digits"))
+    # and these are worked out once: a condition on them would be asked of the sentence again
+    once = lambda df, **made: df.select("*", F.explode(F.array(F.struct(*(c.alias(name) for name, c in made.items())))).alias("made")).select(*df.columns, "made.*")
+    rows = once(rows.withColumn("year", F.lit("2024-01-01").cast("date")), outside=F.lower(F.regexp_replace("sentence", r"\([^()]*\)", " ")))
+    rows = once(rows, dated=dated, each=each).where("claimed IS NOT NULL AND (size(dated) > 0 OR size(each) > 0)")
+    return rows.select("doc_id", "n", "sentence", "claimed", "digits", days.alias("days"), F.flatten(F.transform("each", ranges)).alias("articles"))
 
 
 def count_overclaims(docs: DataFrame, shown: DataFrame, facts: DataFrame | None = None) -> DataFrame:
