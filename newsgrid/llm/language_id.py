@@ -88,8 +88,9 @@ class _Scorer:
         self.trees, self.most = trees, most
         self.known, self.cost = np.zeros(0, np.uint64), np.zeros((0, len(trees.languages)))
 
-    def lengths(self, texts: list[bytes], group: int = 1 << 22) -> np.ndarray:
-        """(texts, languages): total bits. Texts of over `group` bytes are summed over stretches that overlap in context."""
+    def lengths(self, texts: list[bytes], group: int = 1 << 20) -> np.ndarray:
+        """(texts, languages): total bits. Texts of over `group` bytes are summed over stretches that overlap in context.
+        A byte of a group takes some 40 bytes of arrays, in every worker of an executor at once."""
         out = np.zeros((len(texts), len(self.trees.languages)))
         part, at, held = [], [], 0
         order = self.trees.order
