@@ -169,11 +169,14 @@ def compare_sides(events: DataFrame, column: str, left: str, right: str) -> Data
 
 
 def place_dictionary(events: DataFrame, least_division: int, least_city: int) -> DataFrame:
-    """Divisions and cities with enough events, without names that are no places."""
+    """Divisions and cities with enough events, without names that are no places. Full names are counted first, then split."""
+    named = events.groupBy("ActionGeo_FullName", F.col("ActionGeo_Type").between(2, 5).alias("divided")).agg(F.count("*").alias("n"))
     parts = F.split("ActionGeo_FullName", ", ")
-    division = events.where(F.col("ActionGeo_Type").between(2, 5) & (F.size(parts) >= 2)).select(F.lit("division").alias("kind"), F.element_at(parts, -2).alias("name"))
-    city = events.where(F.size(parts) >= 3).select(F.lit("city").alias("kind"), F.element_at(parts, 1).alias("name"))
-    counts = division.unionByName(city).groupBy("kind", "name").agg(F.count("*").alias("n"))
+    of = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    division = F.when(F.col("divided") & (F.size(parts) >= 2), of("division", F.try_element_at(parts, F.lit(-2))))
+    city = F.when(F.size(parts) >= 3, of("city", F.try_element_at(parts, F.lit(1))))
+    rows = named.select(F.inline(F.array_compact(F.array(division, city))), "n")
+    counts = rows.groupBy("kind", "name").agg(F.sum("n").alias("n"))
     enough = ((F.col("kind") == "division") & (F.col("n") >= least_division)) | ((F.col("kind") == "city") & (F.col("n") >= least_city))
     word = r"\b(" + "|".join(K.NOT_PLACE_WORDS) + r")\b"
     return counts.where(enough & ~F.col("name").isin(K.NOT_PLACES) & ~F.col("name").rlike(word))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsgrid.sources.stored import stored
+
 #: A word, or what stands between two words.
 _PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 _WORD = r"^[\p{L}\p{N}_]"
+#: Up to this many first words go to the tasks as a set.
+_FEW = 4096
 
 
 def pieces(text: Column) -> Column:
@@ -31,14 +35,20 @@ def mentions(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text: st
 
     Case does not count, words are whole, and what stands between the words of a name has to be the same. Texts become
     their words, each with as many pieces after it as the longest name has; they meet names by equality of the first word.
-    Catalyst broadcasts a small index, and shuffles by first word where it is large.
+    Where names begin with few different words, no other words are taken from the texts. Catalyst broadcasts a small index,
+    and shuffles by first word where it is large.
     """
+    index = stored(index)
     longest = index.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     if not longest:
         return docs.select(F.col(id_col).alias("id"), F.lit(0).alias("at"), F.lit("").alias("name")).limit(0)
-    rows = docs.select(F.col(id_col).alias("id"), pieces(F.lower(text)).alias("pieces")).where("size(pieces) > 0")
-    near = F.transform("pieces", lambda x, i: F.struct(i.alias("at"), x.alias("first"), F.slice("pieces", i + 1, longest).alias("near")))
-    words = rows.select("id", F.inline(F.filter(near, lambda x: x["first"].rlike(_WORD))))
+    firsts = [r["first"] for r in index.select("first").distinct().limit(_FEW + 1).collect()]
+    begins = lambda x: x.isin(firsts) if len(firsts) <= _FEW else x.rlike(_WORD)
+    rows = docs.select(F.col(id_col).alias("id"), pieces(F.lower(text)).alias("pieces"))
+    places = F.filter(F.transform("pieces", lambda x, i: F.struct(i.alias("at"), x.alias("first"))), lambda x: begins(x["first"]))
+    near = F.transform(places, lambda x: F.struct(x["at"].alias("at"), x["first"].alias("first"), F.slice("pieces", x["at"] + 1, longest).alias("near")))
+    # outer: else the whole of near is computed once more in a filter on its size
+    words = rows.select("id", F.inline_outer(near)).where("first IS NOT NULL")
     met = words.join(index, "first").where(F.array_join(F.slice("near", F.lit(1), F.col("n")), "") == F.col("key"))
     return met.select("id", "at", "name")
 
