@@ -50,7 +50,9 @@ FROM asked JOIN fact ON GlobalEventID = g JOIN prints ON global_event_id = g""",
     "fact",
 )
 def _details(fact):
-    prints = E.fingerprints(fact)
+    # requests and answers read both: derived once
+    fact = stored(fact)
+    prints = stored(E.fingerprints(fact).select("global_event_id", "fingerprint", "headline", "severity_score", "location_name"))
     ids = F.col("GlobalEventID").cast("string")
     asked = fact.select(F.explode(F.array(F.concat_ws("-", F.lit("EVT"), F.col("SQLDATE").cast("string"), ids), F.lpad(ids, 9, "0"))).alias("request"))
     return L.event_details(asked.union(prints.select("fingerprint")), fact, prints)
