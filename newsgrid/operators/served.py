@@ -162,8 +162,8 @@ def with_coverage(events: DataFrame, pages: DataFrame, k: int = 3) -> DataFrame:
     own = pages.groupBy("url").agg(F.min_by(F.struct("page_id", "text"), "page_id").alias("own"))
     rows = events.select("GlobalEventID", "SOURCEURL", "headline").join(own, F.col("SOURCEURL") == F.col("url"), "left").drop("url")
     rows = stored(rows.withColumn("asks", F.when(F.col("own").isNull(), F.col("headline"))))
-    asked = rows.where("asks IS NOT NULL").groupBy("asks").agg(F.min("GlobalEventID").alias("query_id"))
-    weights, stats = nearest.lists(pages, "page_id")
+    asked = stored(rows.where("asks IS NOT NULL").groupBy("asks").agg(F.min("GlobalEventID").alias("query_id")))
+    weights, stats = nearest.lists(pages, "page_id", wanted=nearest.words(asked, "asks"))
     found = nearest.nearest_texts(asked, weights, stats, k, text="asks").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("page_id"), "score"))).alias("near"))
     by_headline = asked.join(found, "query_id").select("asks", F.transform("near", lambda x: F.struct(x["page_id"].alias("page_id"), x["score"].alias("score"))).alias("near"))
     rows = rows.join(by_headline, "asks", "left").withColumn("page_id", F.coalesce("own.page_id", F.col("near")[0]["page_id"]))
