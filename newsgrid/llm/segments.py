@@ -8,6 +8,8 @@ and hands the library only those it has not met, a batch at a time.
 from __future__ import annotations
 
 import codecs
+import ctypes
+import gc
 import os
 import re
 from array import array
@@ -259,10 +261,14 @@ def kept(kind, *args):
 
 
 def forget() -> None:
-    """Let go of all encoders: a worker that turns to another operator needs the memory."""
-    if _KEPT:
-        _KEPT.clear()
-        pa.default_memory_pool().release_unused()
+    """Let go of all encoders, and hand what is free back to the system: a worker that turns to another operator, and the
+    others of its executor, need the memory. Encoders refer to themselves, so only a collection frees them."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
 
 
 def vocabulary(name: str) -> str:
