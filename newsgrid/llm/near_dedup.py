@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from newsgrid.llm.segments import forget
 
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Parts of all words by hash; the counts of two texts bound their edit distance from below.
+_BINS = 256
 
 
 def words_of(text: str) -> list[str]:
@@ -161,7 +164,8 @@ def edit_similar(a: list[str], b: list[str], threshold: float) -> bool:
 
 
 def sketch(docs: DataFrame, k: int, size: int, bands: int, rows: int, seed: int = 0) -> DataFrame:
-    """(doc_id, key, bands array<long>): key is the md5 of the text, bands the hashes of `rows` sketch entries each."""
+    """(doc_id, key, bands array<long>, n, bag): key is the md5 of the text, bands the hashes of `rows` sketch entries each, n the
+    number of words, and bag says of each of _BINS parts of all words how many of these there are, up to 255."""
     seeds = np.random.default_rng(20240229 + seed).integers(1, 1 << 63, bands * rows, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,22 +174,109 @@ def sketch(docs: DataFrame, k: int, size: int, bands: int, rows: int, seed: int
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                out = []
+                out, sizes, bags = [], [], []
                 for t in b.column("text").to_pylist():
                     words = words_of(t)
+                    sizes.append(len(words))
                     if not words:
                         out.append([])
+                        bags.append(None)
                         continue
-                    entries = order_minhash(labelled_kmers(hashes(words), k), seeds, size).reshape(bands, rows)
+                    hashed = hashes(words)
+                    bags.append(np.minimum(np.bincount((hashed >> np.uint64(40)).astype(np.int64) % _BINS, minlength=_BINS), 255).astype(np.uint8).tobytes())
+                    entries = order_minhash(labelled_kmers(hashed, k), seeds, size).reshape(bands, rows)
                     x = np.arange(bands, dtype=np.uint64)
                     for i in range(rows):
                         x = x * _ODD + entries[:, i]
                     out.append(_mix(x).astype(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(out, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bags, pa.binary())], ["doc_id", "key", "bands", "n", "bag"])
 
     rows_ = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows_ = rows_.select(F.col("doc_id").cast("long"), F.md5(F.col("text")).alias("key"), F.col("text").cast("string"))
-    return rows_.mapInArrow(run, "doc_id long, key string, bands array<long>")
+    return rows_.mapInArrow(run, "doc_id long, key string, bands array<long>, n long, bag binary")
+
+
+def _bag_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _BINS)
+
+
+def may_align(n_a: np.ndarray, n_b: np.ndarray, bags_a: np.ndarray, bags_b: np.ndarray, threshold: float, step: int = 4096) -> np.ndarray:
+    """Whether pairs of texts can have an edit similarity of threshold, by their lengths and bags: words of a part that one
+    has more of than the other are left out, put in or replaced, each at a distance of 1."""
+    most = ((1 - threshold) * np.maximum(n_a, n_b) + 1e-9).astype(np.int64)
+    good = np.abs(n_a - n_b) <= most
+    at = np.flatnonzero(good)
+    for begin in range(0, len(at), step):
+        i = at[begin : begin + step]
+        d = bags_a[i].astype(np.int16) - bags_b[i]
+        over = np.maximum(d, 0).sum(1, dtype=np.int64)
+        good[i] = np.maximum(over, over - d.sum(1, dtype=np.int64)) <= most[i]
+    return good
+
+
+def _bounded(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs (a, b) that may align. bags: (id, n, bag)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                good = may_align(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), _bag_rows(b.column("bag_a")), _bag_rows(b.column("bag_b")), threshold)
+                yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda i: bags.select(F.col("id").alias(i), F.col("n").alias("n_" + i), F.col("bag").alias("bag_" + i))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def near_in_buckets(members: DataFrame, bags: DataFrame, threshold: float, tile: int = 512) -> DataFrame:
+    """Pairs (a, b), a < b, of members (bucket, id, component, open) of one bucket and different components, one of them open,
+    that may align. bags: (id, n, bag).
+
+    Texts that align differ by a factor of 1 / threshold in length at most: members are classed by it, and meet those of their
+    own class and the one above. Larger groups are cut to chunks, and all pairs of chunks are tiles of up to 2 * tile rows or
+    so, which lie in one task each and whose pairs are compared as arrays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in chain(batches, [None]):
+            rows = [x for x in (held, b) if x is not None and x.num_rows]
+            held = None
+            if not rows:
+                continue
+            whole = pa.Table.from_batches(rows).combine_chunks()
+            tiles = whole.column("tile").to_numpy()
+            if b is not None:  # the last tile may go on in the next batch
+                end = int(np.searchsorted(tiles, tiles[-1]))
+                held = whole.slice(end).to_batches()[0]
+                whole, tiles = whole.slice(0, end), tiles[:end]
+            if len(tiles) < 2:
+                continue
+            id_, of, open_, n, home, chunk, inner = (whole.column(c).to_numpy() for c in ("id", "component", "open", "n", "home", "chunk", "inner"))
+            bags_ = _bag_rows(whole.column("bag"))
+            at = np.arange(len(tiles) - 1)
+            gap = 1
+            while len(at):
+                at = at[at + gap < len(tiles)]
+                at = at[tiles[at] == tiles[at + gap]]
+                to = at + gap
+                met = (of[at] != of[to]) & (open_[at] | open_[to]) & (home[at] | home[to]) & (inner[at] | (chunk[at] != chunk[to]))
+                i, j = at[met], to[met]
+                good = may_align(n[i], n[j], bags_[i], bags_[j], threshold)
+                if good.any():
+                    x, y = id_[i[good]], id_[j[good]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                gap += 1
+
+    level = F.floor(F.log("n") / float(np.log(1 / threshold + 0.01))).cast("int")
+    rows = members.join(bags, "id").withColumn("level", level)
+    rows = rows.withColumn("place", F.explode(F.array(F.struct("level", F.lit(True).alias("home")), F.struct((F.col("level") + 1).alias("level"), F.lit(False).alias("home")))))
+    rows = rows.select("bucket", "place.level", "place.home", "id", "component", "open", "n", "bag")
+    asked = rows.groupBy("bucket", "level").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"), F.max("open").alias("any_open"), F.max("home").alias("any_home"), F.count("*").alias("all")).where("any_open AND any_home AND `all` > 1")
+    rows = rows.join(asked.select("bucket", "level", "chunks"), ["bucket", "level"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = F.xxhash64("bucket", "level", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    rows = rows.select(key.alias("tile"), "id", "component", "open", "n", "home", "chunk", (F.col("chunk") == F.col("other")).alias("inner"), "bag")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long").distinct()
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -224,7 +315,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, size: i
     """
     rows_ = saved(sketch(docs, k, size, bands, rows))
     classes = saved(rows_.groupBy("key").agg(F.min("doc_id").alias("rep")))
-    reps = rows_.join(classes, "key").where(F.col("doc_id") == F.col("rep")).select("rep", "key", "bands").dropDuplicates(["rep", "key"])
+    reps = rows_.join(classes, "key").where(F.col("doc_id") == F.col("rep")).select("rep", "key", "bands", "n", "bag").dropDuplicates(["rep", "key"])
     # a repeated id with several texts stands for all of them
     spread = reps.select("rep", F.posexplode("bands").alias("band", "value"))
     members = spread.select(F.col("rep").alias("id"), F.xxhash64("band", "value").alias("bucket")).distinct()
@@ -232,6 +323,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, size: i
     met = saved(members.join(busy, "bucket", "left_semi"))
     # of an id's several texts the one with the smallest key is aligned, whatever the order of rows
     wanted = saved(reps.groupBy(F.col("rep").alias("id")).agg(F.min("key").alias("key")).join(met.select("id").distinct(), "id", "left_semi"))
+    bags = saved(reps.select(F.col("rep").alias("id"), "key", "n", "bag").join(wanted, ["id", "key"], "left_semi").drop("key"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     texts = texts.withColumn("key", F.md5("text")).join(wanted, ["id", "key"], "left_semi").drop("key")
     texts = saved(texts.dropDuplicates(["id"]))
@@ -241,7 +333,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, size: i
         found = sketch(own, k, size, 4 * bands, rows, seed=1)
         return found.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id").distinct()
 
-    components = bucket_components(met, lambda pairs: _compared(pairs, texts, threshold), more_bands)
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _compared(saved(_bounded(pairs, bags, threshold)), texts, threshold)
+
+    components = bucket_components(met, verify, more_bands, list_last=lambda members: near_in_buckets(members, bags, threshold))
     groups = classes.join(components, classes["rep"] == components["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     found = rows_.select("doc_id", "key").join(groups, "key").select("doc_id", "component_id")
     alone = docs.where(F.col("doc_id").isNull() | F.col("text").isNull()).select(F.col("doc_id").cast("long"), F.col("doc_id").cast("long").alias("component_id"))
