@@ -14,7 +14,7 @@ from newsgrid.operators import scores as C
 from newsgrid.plans.events import PRINTS_SQL
 from newsgrid.plans.more import SUMMARY_SQL
 from newsgrid.registry import ORACLE_SQL, count_sql, mean_sql, query
-from newsgrid.sources.stored import stored
+from newsgrid.sources.stored import counted
 
 
 def _q(x: str) -> str:
@@ -51,8 +51,8 @@ FROM asked JOIN fact ON GlobalEventID = g JOIN prints ON global_event_id = g""",
 )
 def _details(fact):
     # requests and answers read both: derived once
-    fact = stored(fact)
-    prints = stored(E.fingerprints(fact).select("global_event_id", "fingerprint", "headline", "severity_score", "location_name"))
+    fact, _ = counted(fact)
+    prints, _ = counted(E.fingerprints(fact).select("global_event_id", "fingerprint", "headline", "severity_score", "location_name"))
     ids = F.col("GlobalEventID").cast("string")
     asked = fact.select(F.explode(F.array(F.concat_ws("-", F.lit("EVT"), F.col("SQLDATE").cast("string"), ids), F.lpad(ids, 9, "0"))).alias("request"))
     return L.event_details(asked.union(prints.select("fingerprint")), fact, prints)
@@ -135,7 +135,7 @@ def _reranked(fact_or_spark, sf_dir):
 
     fact = read(fact_or_spark, sf_dir)
     seeds = fact.where(F.col("GlobalEventID") % 50 == 0)
-    storylines = stored(E.storyline(seeds, fact, 7, 5, 15))
+    storylines, _ = counted(E.storyline(seeds, fact, 7, 5, 15))
     return L.reranked(storylines, C.scored_pairs(storylines, seeds, fact))
 
 
